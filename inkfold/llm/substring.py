@@ -47,13 +47,13 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(words) < SPAN:
                 continue
             mers = hashing.run_hashes(words, MER)
-            at = np.arange(len(words) - SPAN + 1) + sliding_window_view(mers, SPAN - MER + 1).argmin(axis=1)
-            starts = np.flatnonzero(np.diff(at, prepend=-1))
-            ends = np.append(starts[1:], len(at)) + SPAN - 1
+            least = sliding_window_view(mers, SPAN - MER + 1).min(axis=1)
+            starts = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+            ends = np.append(starts[1:], len(least)) + SPAN - 1
             up, down = hashing.powers(hashing.RUN[1], len(other))
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(other * up[: len(other)])])
             path = hashing.mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-            found.append((mers[at[starts]], path, np.full(len(starts), doc_id), np.full(len(starts), tag), starts, ends - starts))
+            found.append((least[starts], path, np.full(len(starts), doc_id), np.full(len(starts), tag), starts, ends - starts))
         if found:
             mer, path, doc, tag, start, size = (np.concatenate(c) for c in zip(*found))
             yield pa.RecordBatch.from_arrays([_signed(mer), _signed(path), pa.array(doc), pa.array(tag), pa.array(start, pa.int32()), pa.array(size, pa.int32())], ["mer", "path", "doc_id", "tag", "start", "size"])
@@ -103,9 +103,11 @@ def remove_repeats(docs: DataFrame, emit_text: bool = True) -> DataFrame:
     # A 16-mer of one document only can't be in a repeated window.
     mers = paths.groupBy("mer").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("mer")
     shared = common.stash(paths.join(mers, "mer", "left_semi"), "shared")
-    firsts = shared.groupBy("mer", "path").agg(F.min("doc_id").alias("first"))
-    branching = firsts.groupBy("mer").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mer", F.lit(True).alias("branching"))
-    owned = shared.join(firsts, ["mer", "path"]).join(branching, "mer", "left")
+    # Each of these is written by itself, so that a 16-mer of very many documents is split among tasks where it is joined.
+    firsts = common.stash(shared.groupBy("mer", "path").agg(F.min("doc_id").alias("first")), "firsts")
+    branching = common.stash(firsts.groupBy("mer").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mer", F.lit(True).alias("branching")), "branching")
+    firsts = common.stash(firsts.join(branching, "mer", "left"), "firsts")
+    owned = shared.join(firsts, ["mer", "path"])
     gone, branches = F.col("doc_id") > F.col("first"), F.coalesce("branching", F.lit(False)) & (F.col("doc_id") == F.col("first"))
     parts = owned.where(gone | branches).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "size", gone.alias("gone"), branches.alias("branches"))).alias("parts"))
     touched = common.stash(texts.join(parts, ["doc_id", "tag"]), "touched")
