@@ -13,11 +13,13 @@ input is split into partitions; sequence ids are unique over all partitions.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate, chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 #: ASCII marks that form a token apart from the letters and digits before them; an apostrophe can start a suffix such as 's.
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: One such mark at a word's end, cut off before words are looked up, so that fewer of them are new.
+LAST_MARK = re.compile(rb"[.,;:!?](?<=[a-z0-9].)(?=[\x20\x09-\x0D]|\Z)")
 
 
 def _byte_of() -> dict[str, int]:
@@ -47,7 +51,7 @@ class WordTokenizer:
     of lower-case letters is one piece, merged by rank; its end mark is held as the byte 255, which no UTF-8 text has.
     """
 
-    def __init__(self, path: str, max_words: int = 500_000):
+    def __init__(self, path: str, max_words: int = 1_500_000):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -59,7 +63,7 @@ class WordTokenizer:
             if all(c in byte for c in stem):
                 ranks[bytes(byte[c] for c in stem) + b"\xff" * (stem != token)] = i
         ranks.setdefault(b"\xff", len(ranks) + (1 << 20))
-        self.merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        self.merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self._clear()
 
     def _clear(self) -> None:
@@ -67,10 +71,11 @@ class WordTokenizer:
         self.places: dict[bytes, int] = {}
         self.offsets, self.flat = array("q", [0]), array("I")
 
-    def _put(self, word: bytes, ids) -> None:
-        self.places[word] = len(self.places)
-        self.flat.extend(ids)
-        self.offsets.append(len(self.flat))
+    def _put(self, words: list[bytes], ids: list) -> None:
+        first = len(self.places)
+        self.places.update(zip(words, range(first, first + len(words))))
+        self.offsets.extend(islice(accumulate(map(len, ids), initial=len(self.flat)), 1, None))
+        self.flat.extend(chain.from_iterable(ids))
 
     def _get(self, word: bytes) -> array:
         k = self.places[word]
@@ -78,36 +83,38 @@ class WordTokenizer:
 
     def _learn(self, words: set[bytes]) -> None:
         # Marks after a letter or digit are always a token apart, so such words come from their stems.
-        tailed = {w: n for w in words if 0 < (n := len(w.rstrip(MARKS))) < len(w) and w[:n].decode()[-1].lower()[-1].isalnum() and b"<|" not in w}
-        new = {w for w in words if w not in tailed} | {x for w, n in tailed.items() for x in (w[:n], w[n:])}
-        hard = []
+        tailed = {w: n for w in words if w[-1] in MARKS and 0 < (n := len(w.rstrip(MARKS))) and w[:n].decode()[-1].lower()[-1].isalnum() and b"<|" not in w}
+        parts = {x for w, n in tailed.items() for x in (w[:n], w[n:])}
+        new = [w for w in (words - tailed.keys()) | parts if w not in self.places]
+        soft, hard = [], []
         for w in new:
-            if w in self.places:
-                continue
-            text = w.decode()
-            if text.isalpha() and text == text.lower() and (text.isascii() or unicodedata.is_normalized("NFC", text)):
-                self._put(w, self.merge(w + b"\xff"))
+            # bytes.isalpha knows ASCII letters only, and those are in lower case unless the text has special tokens.
+            if w.isalpha() and w.islower() or (t := w.decode()).isalpha() and t == t.lower() and unicodedata.is_normalized("NFC", t):
+                soft.append(w)
             else:
                 hard.append(w)
+        merge = self.merge
+        self._put(soft, [merge(w + b"\xff") for w in soft])
         for at in range(0, len(hard), 4096):
             part = hard[at : at + 4096]
-            for w, e in zip(part, self.inner.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)):
-                self._put(w, e.ids)
-        for w, n in tailed.items():
-            if w not in self.places:
-                self._put(w, self._get(w[:n]) + self._get(w[n:]))
+            self._put(part, [e.ids for e in self.inner.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)])
+        both = [w for w in tailed if w not in self.places]
+        self._put(both, [self._get(w[: tailed[w]]) + self._get(w[tailed[w] :]) for w in both])
 
     def encode(self, text: bytes) -> np.ndarray:
         # The tokenizer lowers letters itself, but looks for its special tokens before that.
-        words = (text if b"<|" in text else text.lower()).split()
+        words = LAST_MARK.sub(rb" \g<0>", text if b"<|" in text else text.lower()).split()
         if not words:
             return np.zeros(0, np.uint32)
         if len(self.places) > self.max_words:
             self._clear()
-        at = list(map(self.places.get, words))
+        places = self.places
+        at = list(map(places.get, words))
         if None in at:
-            self._learn({w for w, k in zip(words, at) if k is None})
-            at = list(map(self.places.__getitem__, words))
+            missing = [i for i, k in enumerate(at) if k is None]
+            self._learn({words[i] for i in missing})
+            for i in missing:
+                at[i] = places[words[i]]
         at, offsets = np.array(at), np.frombuffer(self.offsets, np.int64)
         starts, n = offsets[at], offsets[at + 1] - offsets[at]
         ends = np.cumsum(n)
