@@ -123,6 +123,7 @@ def assess(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that pass."""
-    model = fit(measure(docs, ()))
-    rows = measure(docs, tuple(docs.columns)).where(~base_failed() & (posterior(model) >= 0.5))
+    # Written once: measured once, and the verdict isn't pushed down into the measures, whose expressions would multiply.
+    measured = common.stash(measure(docs, tuple(docs.columns)), "quality")
+    rows = measured.where(~base_failed() & (posterior(fit(measured)) >= 0.5))
     return rows.select(*(F.col(f"in_{c}").alias(c) for c in docs.columns))
