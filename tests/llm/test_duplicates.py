@@ -187,7 +187,13 @@ def plain_removed(texts: dict[int, list[str]], span: int) -> dict[int, set[int]]
 def test_repeated_passages_go(spark, sf):
     rng = random.Random(9)
     passages = [sentence(rng, 120, 30) for _ in range(4)]
-    made = [(1000 + i, " ".join(x for _ in range(3) for x in (sentence(rng, rng.randrange(60), 30), (p := rng.choice(passages).split())[(a := rng.randrange(40)) : a + rng.randrange(40, 80)] and " ".join(p[a : a + 70])))) for i in range(30)]
+    made = []
+    for i in range(30):
+        parts = []
+        for _ in range(3):
+            words, at = rng.choice(passages).split(), rng.randrange(40)
+            parts += [sentence(rng, rng.randrange(60), 30), " ".join(words[at : at + rng.randrange(40, 80)])]
+        made.append((1000 + i, " ".join(parts)))
     made += [(2000, passages[0]), (2001, passages[0] + "\n" + passages[0]), (2002, " ".join(["same"] * 130)), (2003, " ".join(["same"] * 90))]
     docs = spark.createDataFrame(made, "doc_id long, text string").unionByName(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
     texts = {r["doc_id"]: WORD.findall(r["text"] or "") for r in docs.collect()}

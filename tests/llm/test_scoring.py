@@ -166,8 +166,10 @@ def test_base_scores(spark, sf):
         base = sum(math.log10((learned[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)
         assert r["n_tokens"] == len(ws) and r["n_known"] == sum(learned[w] > 0 for w in ws) and r["train_tokens"] == n
         assert math.isclose(r["base_score"], base, rel_tol=1e-9, abs_tol=1e-9) and r["score"] < 0
+    # The base gives every unseen word one shared probability, so the scores aren't comparable; learning must help, though.
+    untrained = {r["doc_id"]: r["score"] for r in rows(lm_scoring.score(docs, PIECES, rounds=0, common_words=50))}
     held = [r for r in found if r["held_out"]]
-    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    assert sum(r["score"] for r in held) > sum(untrained[r["doc_id"]] for r in held)
 
 
 def test_scores_at_the_edges(edge_docs, no_docs):
