@@ -101,19 +101,19 @@ def remove_repeats(docs: DataFrame, emit_text: bool = True) -> DataFrame:
     texts = common.ids_and_texts(docs).withColumn("tag", F.crc32("text"))
     paths = common.stash(texts.where("doc_id is not null").mapInArrow(_paths, "mer long, path long, doc_id long, tag long, start int, size int"), "paths")
     # A 16-mer of one document only can't be in a repeated window.
-    mers = paths.groupBy("mer").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("mer")
-    shared = common.stash(paths.join(mers, "mer", "left_semi"), "shared")
-    # Each of these is written by itself, so that a 16-mer of very many documents is split among tasks where it is joined.
-    firsts = common.stash(shared.groupBy("mer", "path").agg(F.min("doc_id").alias("first")), "firsts")
-    branching = common.stash(firsts.groupBy("mer").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mer", F.lit(True).alias("branching")), "branching")
-    firsts = common.stash(firsts.join(branching, "mer", "left"), "firsts")
-    owned = shared.join(firsts, ["mer", "path"])
-    gone, branches = F.col("doc_id") > F.col("first"), F.coalesce("branching", F.lit(False)) & (F.col("doc_id") == F.col("first"))
+    mers = paths.groupBy("mer").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b")
+    shared = common.stash(common.join_counted(paths, common.stash(mers.select("mer", "n"), "mers"), ["mer"]).drop("n"), "shared")
+    firsts = common.stash(shared.groupBy("mer", "path").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")), "firsts")
+    branching = common.stash(firsts.groupBy("mer").agg(F.count(F.lit(1)).alias("n")), "branching")
+    firsts = common.join_counted(firsts, branching, ["mer"]).select("mer", "path", "first", F.col("rows").alias("n"), (F.col("n") > 1).alias("branching"))
+    owned = common.join_counted(shared, common.stash(firsts, "firsts"), ["mer", "path"])
+    gone, branches = F.col("doc_id") > F.col("first"), F.col("branching") & (F.col("doc_id") == F.col("first"))
     parts = owned.where(gone | branches).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "size", gone.alias("gone"), branches.alias("branches"))).alias("parts"))
     touched = common.stash(texts.join(parts, ["doc_id", "tag"]), "touched")
     windows = common.stash(touched.mapInArrow(_windows, "one long, two long, doc_id long, tag long, at int"), "windows")
-    least = windows.groupBy("one", "two").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("one", "two", "a")
-    marks = windows.join(least, ["one", "two"]).where("doc_id > a").groupBy("doc_id", "tag").agg(F.collect_list("at").alias("marks"))
+    least = windows.groupBy("one", "two").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b")
+    found = common.join_counted(windows, common.stash(least.drop("b"), "least"), ["one", "two"])
+    marks = found.where("doc_id > a").groupBy("doc_id", "tag").agg(F.collect_list("at").alias("marks"))
     schema = "doc_id long, tag long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * emit_text
     whole = texts.mapInArrow(_cut(emit_text), schema).join(touched.select("doc_id", "tag").distinct(), ["doc_id", "tag"], "left_anti")
     cut = touched.join(marks, ["doc_id", "tag"], "left").mapInArrow(_cut(emit_text), schema)
