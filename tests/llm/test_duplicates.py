@@ -12,7 +12,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from inkfold.llm import components, decontaminate, line_dedup, sharding, simhash, substring
+from inkfold.llm import common, components, decontaminate, line_dedup, sharding, simhash, substring
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -206,6 +206,16 @@ def test_repeated_passages_go(spark, sf):
         assert r["kept_text"] == left and r["kept_sha256"] == hashlib.sha256(left.encode()).hexdigest()
 
 
+@pytest.mark.parametrize("share", [1, 3, 1000])
+def test_common_keys_join_like_others(spark, share):
+    data = [(k, i) for k, n in ((1, 50), (2, 7), (3, 1), (None, 4)) for i in range(n)]
+    table = spark.createDataFrame(data, "k int, i int")
+    groups = table.where("k is null or k != 3").groupBy("k").count().withColumnRenamed("count", "n")
+    found = common.join_counted(table, groups, ["k"], share)
+    assert sorted((r["k"], r["i"], r["n"]) for r in found.collect()) == sorted((k, i, {1: 50, 2: 7}[k]) for k, i in data if k in (1, 2))
+    assert common.join_counted(table, groups.limit(0), ["k"], share).count() == 0
+
+
 def test_substrings_at_the_edges(edge_docs, no_docs):
     found = rows(substring.remove_repeats(edge_docs))
     assert len(found) == edge_docs.count() and all(r["n_removed"] == 0 for r in found)
