@@ -1,16 +1,19 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
 Lines within `threshold` edits share one of threshold + 1 equal parts of the shorter one unchanged, near its place.
-Each distinct line is indexed by those parts, and probes the parts of lines as long as itself or up to threshold
-shorter; pairs that meet are verified by banded edit distance. Where a part is common to more than `crowd` lines, the
-lines that hold it are not paired: what is left of them, without the part, must also lie within threshold edits, so
-the same join runs on the rests, up to `depth` times. Only lines that agree in nearly all of their text are paired in
-the end, so a phrase that a third of all lines share costs no pairs.
+Each distinct line is indexed by those parts, and probes the places of parts of lines as long as itself or up to
+threshold shorter; pairs that meet are verified by banded edit distance. A long part's key is the gram in it with the
+least hash: windows a few places apart mostly have the same one, so a line has few keys whatever the threshold. Lines
+under EDIT_CHARS * threshold characters are joined the same way with the fewer edits that are allowed to them. Where a
+key is common to more than `crowd` lines, the lines that hold it are not paired: what is left of them, without the gram,
+must also lie within threshold edits, so the same join runs on the rests, up to `depth` times. Only lines that agree in
+nearly all of their text are paired in the end, so a phrase that a third of all lines share costs no pairs.
 
 Exact copies are one class before the join. Edge cases: a null or empty text has no lines, nor does a line without a
-word count. Lines under min_chars have a class but no links, and aren't removed. Of copies the one with the smallest
-(doc_id, line_no) is first, a null id before others. A row repeated with its id is the same lines again. An empty table
-gives no rows; other columns are ignored by `link` and kept by `drop_lines`.
+word. Lines under EDIT_CHARS characters are removed as exact copies only; those under min_chars have a class but no
+links, and aren't removed. Of copies the one with the smallest (doc_id, line_no) is first, a null id before others. A
+row repeated with its id is the same lines again. An empty table gives no rows; other columns are ignored by `link` and
+kept by `drop_lines`.
 """
 
 from __future__ import annotations
@@ -20,6 +23,9 @@ from pyspark.sql import functions as F
 
 from inkfold.llm import common
 
+#: A line may differ by one edit for each so many characters, up to the threshold; shorter ones have exact copies only.
+EDIT_CHARS = 5
+
 
 def lines(docs: DataFrame) -> DataFrame:
     """A row for each line with a word: doc_id, tag (of the text), line_no, chars, line."""
@@ -28,30 +34,57 @@ def lines(docs: DataFrame) -> DataFrame:
     return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("chars", F.length("line"))
 
 
-def _cuts(n: Column, parts: int) -> list[tuple[Column, Column]]:
-    """Start and length of each part of a line of n characters."""
-    at = [F.floor(n * i / F.lit(parts)).cast("int") for i in range(parts + 1)]
-    return [(a, b - a) for a, b in zip(at, at[1:])]
+def _gram(part: Column) -> Column:
+    """How many characters of a part make its key: all of a short one; steps of 8 keep lines of similar length alike."""
+    return F.when(part < 16, part).otherwise(F.floor(part / 8) * 8 - 8).cast("int")
+
+
+def _keys(s: Column, part: Column, i: int, lo: Column, up: Column) -> tuple[Column, Column]:
+    """(key, at, size) of all grams of the i-th part's windows, which start in lo to up; the distinct least ones of the windows."""
+    size = _gram(part)
+    text = s.substr(lo + 1, up - lo + part)
+    gram = F.transform(F.sequence(F.lit(0), up - lo + part - size), lambda j: F.struct(F.xxhash64(F.col("g"), size, F.lit(i), F.substr(text, j + 1, size)).alias("key"), (lo + j).alias("at"), size.alias("size")))
+    least = F.array_distinct(F.transform(F.sequence(F.lit(0), up - lo), lambda j: F.array_min(F.slice(F.col(f"grams{i}"), j + 1, part - size + 1))))
+    return gram, least
+
+
+def _explode(rows: DataFrame, bounds: list[tuple[Column, Column]]) -> DataFrame:
+    """(key, line_id, s, n, at, size) for rows with n and part; bounds are the first and last start of each part's windows."""
+    places = rows.select("*", *(c.alias(f"{side}{i}") for i, pair in enumerate(bounds) for side, c in zip(("lo", "up"), pair)))
+    both = [_keys(F.col("s"), F.col("part"), i, F.col(f"lo{i}"), F.col(f"up{i}")) for i in range(len(bounds))]
+    fits = [F.col(f"up{i}") >= F.col(f"lo{i}") for i in range(len(bounds))]
+    grams = places.select("*", *(F.when(fit, gram).alias(f"grams{i}") for i, (fit, (gram, _)) in enumerate(zip(fits, both))))
+    none = F.array().cast("array<struct<key: bigint, at: int, size: int>>")
+    found = F.concat(*(F.when(fit, least).otherwise(none) for fit, (_, least) in zip(fits, both)))
+    return grams.select("line_id", "s", "n", F.explode(found).alias("k")).select("k.key", "line_id", "s", "n", "k.at", "k.size")
+
+
+def _start(n: Column, i: int, threshold: int) -> Column:
+    return F.floor(n * i / F.lit(threshold + 1)).cast("int")
 
 
 def _index(rows: DataFrame, threshold: int) -> DataFrame:
-    """(key, line_id, rest) of each part; rest is the line without the part."""
-    n, keys = F.length("s"), []
-    for i, (start, size) in enumerate(_cuts(n, threshold + 1)):
-        keys.append(F.struct(F.xxhash64(F.col("g"), n, F.lit(i), F.col("s").substr(start + 1, size)).alias("key"), start.alias("at"), size.alias("size")))
-    return rows.select("line_id", "s", F.explode(F.array(*keys)).alias("k")).select("k.key", "line_id", "s", "k.at", "k.size")
+    """The key of each of a line's own parts."""
+    n = F.col("n")
+    sized = rows.select("g", "line_id", "s", F.length("s").alias("n")).withColumn("part", _start(n, 1, threshold))
+    return _explode(sized, [(_start(n, i, threshold),) * 2 for i in range(threshold + 1)])
 
 
 def _probe(rows: DataFrame, threshold: int) -> DataFrame:
-    """(key, line_id, same, rest) of each place where a line as long (same) or shorter could have its part."""
-    n, keys = F.length("s"), []
-    for less in range(threshold + 1):
-        for i, (start, size) in enumerate(_cuts(n - less, threshold + 1)):
-            for shift in range(max(-i, less - (threshold - i)), min(i, less + threshold - i) + 1):
-                at = start + shift
-                key = F.xxhash64(F.col("g"), n - less, F.lit(i), F.col("s").substr(at + 1, size))
-                keys.append(F.when((at >= 0) & (at + size <= n) & (n > less), F.struct(key.alias("key"), F.lit(less == 0).alias("same"), at.alias("at"), size.alias("size"))))
-    return rows.select("line_id", "s", F.explode(F.array(*keys)).alias("k")).where("k is not null").select("k.key", "line_id", "s", "k.same", "k.at", "k.size")
+    """The keys of each place where a line as long or up to threshold shorter could have its part."""
+    n, part = F.col("n"), F.col("part")
+    sized = rows.select("g", "line_id", "s", F.length("s").alias("n"))
+    # Lines up to threshold shorter have parts of at most two sizes.
+    sized = sized.withColumn("part", F.explode(F.array_distinct(F.array(_start(n, 1, threshold), _start(F.greatest(n - threshold, F.lit(0)), 1, threshold)))))
+    bounds = []
+    for i in range(threshold + 1):
+        lo, up = [], []
+        for less in range(threshold + 1):
+            fits = (_start(n - less, 1, threshold) == part) & (n > less)
+            lo.append(F.when(fits, _start(n - less, i, threshold) + max(-i, less - (threshold - i))))
+            up.append(F.when(fits, _start(n - less, i, threshold) + min(i, less + threshold - i)))
+        bounds.append((F.greatest(F.least(*lo), F.lit(0)), F.least(F.greatest(*up), n - part)))
+    return _explode(sized, bounds)
 
 
 def _rest() -> Column:
@@ -62,8 +95,9 @@ def _rest() -> Column:
 def _meet(indexed: DataFrame, probing: DataFrame, threshold: int, crowd: int, depth: int) -> DataFrame:
     """Pairs (a, b) of lines that may lie within threshold edits; no such pair of a row of indexed and one of probing is missed."""
     index, probe = _index(indexed, threshold), _probe(probing, threshold)
-    one, other = index.select("key", F.col("line_id").alias("a")), probe.select("key", F.col("line_id").alias("b"), "same")
-    ordered = ~F.col("same") | (F.col("a") < F.col("b"))
+    one, other = index.select("key", F.col("line_id").alias("a"), F.col("n").alias("n_a")), probe.select("key", F.col("line_id").alias("b"), F.col("n").alias("n_b"))
+    longer = F.col("n_b") - F.col("n_a")
+    ordered = longer.between(1, threshold) | ((longer == 0) & (F.col("a") < F.col("b")))
     if depth <= 1:
         return one.join(other, "key").where(ordered).select("a", "b")
     crowded = common.stash(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("key"), "crowded")
@@ -75,18 +109,26 @@ def _meet(indexed: DataFrame, probing: DataFrame, threshold: int, crowd: int, de
     return pairs.unionByName(_meet(left, right, threshold, crowd, depth - 1))
 
 
-def link(docs: DataFrame, threshold: int = 1, min_chars: int = 20, crowd: int = 64, depth: int = 5) -> DataFrame:
+def link(docs: DataFrame, threshold: int = 4, min_chars: int = 1, crowd: int = 64, depth: int = 5) -> DataFrame:
     """A row for each line with a word: doc_id, line_no, tag; its class of equal lines (class_doc_id and class_line_no of
-    the first, n_copies), n_links (other distinct lines within threshold edits) and removed (an equal or linked line comes first)."""
+    the first, n_copies), n_links (other distinct lines within the edits allowed: threshold, and one for each EDIT_CHARS
+    characters of the shorter line) and removed (an equal or linked line comes first)."""
     every = lines(docs).withColumn("line_id", F.xxhash64("line", "chars"))
     place = F.struct(F.col("doc_id"), F.col("line_no"))
     distinct = common.stash(every.groupBy("line_id", "chars").agg(F.first("line").alias("line"), F.min(place).alias("first"), F.count(F.lit(1)).alias("n_copies")), "lines")
     long = distinct.where(F.col("chars") >= min_chars)
-    rows = long.select(F.lit(0).cast("long").alias("g"), "line_id", F.col("line").alias("s"))
-    pairs = common.stash(_meet(rows, rows, threshold, crowd, depth).distinct(), "pairs")
+    pairs = docs.sparkSession.createDataFrame([], "a long, b long")
+    for t in range(1, threshold + 1):
+        shortest, end = max(min_chars, EDIT_CHARS * t), EDIT_CHARS * (t + 1) if t < threshold else None
+        if end is None or shortest < end:
+            rows = long.where(F.col("chars") >= shortest).select(F.lit(t).cast("long").alias("g"), "line_id", F.col("line").alias("s"), "chars")
+            index, probe = (rows, rows) if end is None else (rows.where(F.col("chars") < end), rows.where(F.col("chars") < end + t))
+            pairs = pairs.unionByName(_meet(index.drop("chars"), probe.drop("chars"), t, crowd, depth))
+    pairs = common.stash(pairs.distinct(), "pairs")
     a = long.select(F.col("line_id").alias("a"), F.col("line").alias("line_a"), F.col("first").alias("first_a"))
     b = long.select(F.col("line_id").alias("b"), F.col("line").alias("line_b"), F.col("first").alias("first_b"))
-    near = pairs.join(a, "a").join(b, "b").where(F.levenshtein("line_a", "line_b", threshold) >= 0)
+    allowed = F.least(F.lit(threshold), F.floor(F.least(F.length("line_a"), F.length("line_b")) / EDIT_CHARS))
+    near = pairs.join(a, "a").join(b, "b").where(F.levenshtein("line_a", "line_b", threshold).between(0, allowed))
     near = common.stash(near.select("a", "b", "first_a", "first_b"), "near")
     sides = near.select(F.col("a").alias("line_id"), F.col("first_b").alias("peer")).unionByName(near.select(F.col("b").alias("line_id"), F.col("first_a").alias("peer")))
     links = sides.groupBy("line_id").agg(F.count(F.lit(1)).alias("n_links"), F.min("peer").alias("peer"))

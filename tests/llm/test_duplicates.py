@@ -68,6 +68,28 @@ def test_lines_link_as_brute_force_says(spark, threshold, crowd, depth):
         assert r["removed"] == (len(x) >= 20 and ((d, k) > first[x] or any(first[y] < first[x] for y in near[x])))
 
 
+def test_default_links_reach_four_edits_and_short_lines(spark):
+    rng = random.Random(11)
+    made = []
+    for n in (*range(2, 48), 75, 79, 80, 81, 119, 120, 124, 200, 1000):
+        s = "".join(rng.choice("abcdefg hij") for _ in range(n - 1)) + "z"
+        made.append(s)
+        for k in (0, 1, 2, 3, 4, 5):
+            x = list(s)
+            for _ in range(k):
+                at = rng.randrange(len(x) + 1)
+                x[at : at + rng.randrange(2)] = rng.choice(["", "k", "q"])
+            made.append("".join(x))
+    made = [x for x in made if x.strip()]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    distinct = set(made)
+    first = {x: made.index(x) for x in distinct}
+    near = {x: [y for y in distinct if y != x and abs(len(x) - len(y)) <= 4 and edits(x, y) <= min(4, len(x) // 5, len(y) // 5)] for x in distinct}
+    for crowd in (64, 3):
+        found = {r["doc_id"]: (r["n_links"], r["removed"]) for r in rows(line_dedup.link(docs, crowd=crowd))}
+        assert found == {d: (len(near[x]), d > first[x] or any(first[y] < first[x] for y in near[x])) for d, x in enumerate(made)}
+
+
 def test_lines_at_the_edges(edge_docs, no_docs):
     left = line_dedup.drop_lines(edge_docs)
     assert left.columns == edge_docs.columns
