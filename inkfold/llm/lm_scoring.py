@@ -9,8 +9,8 @@ word counts of the training documents then weigh them. Every single byte is a pi
 Word counts come from all training documents and stay distributed. The `common_words` most frequent words are broadcast;
 occurrences of others are joined with their counts.
 
-Edge cases: a null, empty or blank text is its end alone. Words longer than `LONG` bytes are scored one by one and left
-out when pieces are weighed. With no training text all counts are zero, base scores are 0 and pieces keep their first
+Edge cases: a null, empty or blank text is its end alone. Words longer than `LONG` bytes are weighed and scored
+one by one. With no training text all counts are zero, base scores are 0 and pieces keep their first
 weights. Repeated rows are scored each; an empty table gives no rows; other columns are ignored.
 """
 
@@ -60,7 +60,7 @@ class Lattice:
             keys = self._prefixes(np.frombuffer(b"".join(pieces[i] for i in at), np.uint8).reshape(len(at), n))[:, n]
             order = np.argsort(keys)
             self.tables[n] = (keys[order], at[order])
-        self.by_piece = dict(zip(pieces, weights.tolist()))
+        self.by_piece = dict(zip(pieces, enumerate(weights.tolist())))
 
     @staticmethod
     def _prefixes(words: np.ndarray) -> np.ndarray:
@@ -101,13 +101,25 @@ class Lattice:
             expected += np.bincount(used, share * counts[rows], minlength=len(expected))
         return ahead[:, size], expected
 
-    def long(self, word: bytes) -> float:
-        """The same for one long word."""
+    def _into(self, word: bytes, end: int) -> list[tuple[int, int, float]]:
+        """Start, piece and weight of each piece of word that ends there."""
+        return [(end - k, *hit) for k in self.tables if k <= end and (hit := self.by_piece.get(word[end - k : end])) is not None]
+
+    def long(self, word: bytes, count: float = 0.0, expected: np.ndarray | None = None) -> float:
+        """The same for one long word; with expected, its expected uses times count are added there."""
         ahead = [0.0]
         for end in range(1, len(word) + 1):
-            arcs = [ahead[end - k] + w for k in self.tables if k <= end and (w := self.by_piece.get(word[end - k : end])) is not None]
+            arcs = [ahead[start] + w for start, _, w in self._into(word, end)]
             top = max(arcs)
             ahead.append(top + log(sum(exp(a - top) for a in arcs)))
+        if expected is not None:
+            # The share of the paths through each place flows back over its arcs, which are looked up again, not held.
+            through = [0.0] * len(word) + [count]
+            for end in range(len(word), 0, -1):
+                for start, piece, w in self._into(word, end):
+                    share = through[end] * exp(ahead[start] + w - ahead[end])
+                    through[start] += share
+                    expected[piece] += share
         return ahead[-1]
 
     def score(self, words: list[bytes]) -> np.ndarray:
@@ -166,6 +178,9 @@ def _expect(model):
             for size, at in _by_length(words):
                 if size <= LONG:
                     total += lattice.run(_matrix(words, at, size), n[at].astype(float))[1]
+                else:
+                    for i in at:
+                        lattice.long(bytes([START]) + words[i], float(n[i]), total)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["piece", "uses"])
 

@@ -153,6 +153,22 @@ def test_lattice_sums_all_segmentations():
     assert np.isfinite(lattice.score(words)[-1])
 
 
+def test_long_words_weigh_the_pieces():
+    import numpy as np
+    import pyarrow as pa
+
+    pieces = [b"a", b"b", b"ab", b"aba", bytes([lm_scoring.START]), bytes([lm_scoring.START]) + b"a"]
+    weights = np.log(np.array([0.2, 0.2, 0.3, 0.1, 0.1, 0.1]))
+    words, n = [b"abaab" * 20, b"ab", b"b" * 65], [3, 2, 5]
+    lattice, whole = lm_scoring.Lattice(pieces, weights), np.zeros(6)
+    for w, k in zip(words, n):
+        whole += lattice.run(lm_scoring._matrix([w], np.array([0]), len(w)), np.array([float(k)]))[1]
+    batch = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
+    model = type("Held", (), {"value": (pieces, weights)})
+    found = {r["piece"]: r["uses"] for out in lm_scoring._expect(model)(iter([batch])) for r in out.to_pylist()}
+    assert [found.get(i, 0) for i in range(6)] == pytest.approx(whole.tolist())
+
+
 def test_base_scores(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
