@@ -1,9 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Each test item is seeded with its trigrams that chance would put into the whole corpus at most `chance` times, judged by
-the corpus frequencies of their words (so a passage that many documents copied stays rare), or with its `least` rarest
-ones if fewer qualify. Documents are joined to items on the seeds, and around each seed the item is aligned word by word
-with the document; the score is 1 for the whole item in place and loses for words that are changed, left out or put in.
+Each test item is seeded with all its trigrams, rare or not, so that which seeds there are depends neither on the size of
+the corpus nor on how often the item is copied. Documents are joined to items on the seeds, and around each seed the item
+is aligned word by word with the document, unless too few of its words are there at all; the score is 1 for the whole
+item in place and loses for words that are changed, left out or put in. Copies with no three words in a row unchanged
+share no seed and aren't found.
 Items are handled in blocks of bounded size, each in a pass over all documents, so what is sent to the tasks is bounded.
 
 Words are runs of letters and digits, in lower case. Edge cases: null, empty and blank texts have no words and match
@@ -14,7 +15,6 @@ their rows. With an empty table on either side there are no rows. Other columns
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -46,21 +46,6 @@ def _lookup(keys: np.ndarray, found: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == found, at, -1)
 
 
-def _frequencies(held):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = held.value
-        n, total = np.zeros(len(keys), np.int64), 0
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                w = words(text)
-                total += len(w)
-                at = _lookup(keys, w)
-                n += np.bincount(at[at >= 0], minlength=len(keys))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(keys)), -1)), pa.array(np.append(n, total))], ["word", "n"])
-
-    return count
-
-
 def align(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int]:
     """Smith-Waterman score of item in part, and start and end of the best place in part."""
 
@@ -109,6 +94,8 @@ def _matcher(held, threshold: float):
                             reach = windows[-1][1]
                     for a, b in windows:
                         a = max(a, 0)
+                        if np.isin(item, w[a:b]).sum() / len(item) < threshold:  # words in common bound the score
+                            continue
                         score, start, end = align(item, w[a:b])
                         if score / (MATCH * len(item)) > best[0]:
                             best = (score / (MATCH * len(item)), a + start, a + end)
@@ -121,16 +108,11 @@ def _matcher(held, threshold: float):
     return match
 
 
-def _seeds(items: list[np.ndarray], vocabulary: np.ndarray, n: np.ndarray, total: int, chance: float, least: int) -> dict:
-    share = np.log((n + 1) / (total + len(vocabulary) + 1))
+def _seeds(items: list[np.ndarray]) -> dict:
     chosen = defaultdict(list)
     for k, item in enumerate(items):
-        grams = hashing.run_hashes(item, GRAM)
-        own = share[_lookup(vocabulary, item)]
-        expected = math.log(total + 1) + sum(own[j : len(own) - GRAM + 1 + j] for j in range(GRAM))
-        rare = np.flatnonzero(expected <= math.log(chance))
-        for p in rare if len(rare) >= least else np.argsort(expected, kind="stable")[:least]:
-            chosen[int(grams[p])].append((k, int(p)))
+        for p, gram in enumerate(hashing.run_hashes(item, GRAM)):
+            chosen[int(gram)].append((k, p))
     keys = np.array(sorted(chosen), np.uint64)
     size = np.array([len(chosen[int(x)]) for x in keys], np.int64)
     flat = [x for key in keys for x in chosen[int(key)]]
@@ -138,7 +120,7 @@ def _seeds(items: list[np.ndarray], vocabulary: np.ndarray, n: np.ndarray, total
     return {"keys": keys, "first": ends - size, "last": ends, "owners": [k for k, _ in flat], "places": [p for _, p in flat]}
 
 
-def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, chance: float = 1.0, least: int = 4, block_items: int = 20_000, block_chars: int = 16_000_000) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block_items: int = 20_000, block_chars: int = 16_000_000) -> DataFrame:
     """A row for each document and test item with an alignment of at least threshold: doc_id, item_id, score, and the
     place of the passage among the document's words (start_word, end_word)."""
     spark, texts = docs.sparkSession, common.ids_and_texts(docs)
@@ -150,11 +132,7 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, chance:
         rows = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
         pairs = [(r["item_id"], w) for r in rows if len(w := words(r["text"])) >= GRAM]
         ids, items = [i for i, _ in pairs], [w for _, w in pairs]
-        vocabulary = np.unique(np.concatenate(items)) if items else np.zeros(0, np.uint64)
-        counted = texts.mapInArrow(_frequencies(spark.sparkContext.broadcast(vocabulary)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        n = dict(map(tuple, counted.collect())) if items else {}
-        seeds = _seeds(items, vocabulary, np.array([n.get(i, 0) for i in range(len(vocabulary))], np.int64), n.get(-1, 0), chance, least)
-        held = spark.sparkContext.broadcast(seeds | {"ids": ids, "items": items})
+        held = spark.sparkContext.broadcast(_seeds(items) | {"ids": ids, "items": items})
         found = texts.mapInArrow(_matcher(held, threshold), "doc_id long, item_id long, score double, start_word long, end_word long")
         out = found if out is None else out.unionByName(found)
     return out

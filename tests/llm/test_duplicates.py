@@ -180,6 +180,16 @@ def test_planted_passages_are_found(spark):
     assert {r["doc_id"] for r in rows(kept)} == set(range(20, 60))
 
 
+def test_edited_copies_of_common_passages_are_found(spark):
+    item = [f"i{k}" for k in range(24)]
+    edited = [w if k % 8 != 3 else "changed" for k, w in enumerate(item)]
+    # The item's words are frequent throughout, and its rarest trigrams are those that the copy lost.
+    common_words = " ".join(" ".join(w for k, w in enumerate(item) if k % 8 != 3) for _ in range(40))
+    docs = [(0, " ".join(edited)), *((k, common_words) for k in range(1, 40)), (99, "i0 i1 i2 and nothing else of it")]
+    found = rows(decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"), threshold=0.8))
+    assert {(r["doc_id"], r["score"]) for r in found if r["doc_id"] in (0, 99)} == {(0, (2 * 21 - 3) / 48)}
+
+
 def test_alignment_scores():
     import numpy as np
 
