@@ -40,6 +40,11 @@ def ids_and_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def text_tag() -> Column:
+    """Tells texts of rows with one id, or none, apart."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def id_crc(column: str = "doc_id") -> Column:
     """crc32 of the id written as text."""
     return F.crc32(F.col(column).cast("string"))

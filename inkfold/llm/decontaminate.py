@@ -75,7 +75,7 @@ def _matcher(held, threshold: float):
         keys, first, last, owners, places = (block[k] for k in ("keys", "first", "last", "owners", "places"))
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for doc_id, tag, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "text"))):
                 w = words(text)
                 at = _lookup(keys, hashing.run_hashes(w, GRAM))
                 hits = defaultdict(list)
@@ -100,10 +100,10 @@ def _matcher(held, threshold: float):
                         if score / (MATCH * len(item)) > best[0]:
                             best = (score / (MATCH * len(item)), a + start, a + end)
                     if best[0] >= threshold:
-                        rows.append((doc_id, block["ids"][k], *best))
-            columns = list(zip(*rows)) if rows else [[]] * 5
-            types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "item_id", "score", "start_word", "end_word"])
+                        rows.append((doc_id, tag, block["ids"][k], *best))
+            columns = list(zip(*rows)) if rows else [[]] * 6
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "tag", "item_id", "score", "start_word", "end_word"])
 
     return match
 
@@ -120,10 +120,9 @@ def _seeds(items: list[np.ndarray]) -> dict:
     return {"keys": keys, "first": ends - size, "last": ends, "owners": [k for k, _ in flat], "places": [p for _, p in flat]}
 
 
-def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block_items: int = 20_000, block_chars: int = 16_000_000) -> DataFrame:
-    """A row for each document and test item with an alignment of at least threshold: doc_id, item_id, score, and the
-    place of the passage among the document's words (start_word, end_word)."""
-    spark, texts = docs.sparkSession, common.ids_and_texts(docs)
+def _find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block_items: int = 20_000, block_chars: int = 16_000_000) -> DataFrame:
+    """The rows of find, with the tag of the document's text."""
+    spark, texts = docs.sparkSession, common.ids_and_texts(docs).withColumn("tag", common.text_tag())
     tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     size = tests.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).first()
     blocks = max(1, -(-size["n"] // block_items), -(-(size["chars"] or 0) // block_chars))
@@ -133,13 +132,19 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block_it
         pairs = [(r["item_id"], w) for r in rows if len(w := words(r["text"])) >= GRAM]
         ids, items = [i for i, _ in pairs], [w for _, w in pairs]
         held = spark.sparkContext.broadcast(_seeds(items) | {"ids": ids, "items": items})
-        found = texts.mapInArrow(_matcher(held, threshold), "doc_id long, item_id long, score double, start_word long, end_word long")
+        found = texts.mapInArrow(_matcher(held, threshold), "doc_id long, tag long, item_id long, score double, start_word long, end_word long")
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block_items: int = 20_000, block_chars: int = 16_000_000) -> DataFrame:
+    """A row for each document and test item with an alignment of at least threshold: doc_id, item_id, score, and the
+    place of the passage among the document's words (start_word, end_word)."""
+    return _find(docs, benchmark, threshold, block_items, block_chars).drop("tag")
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs, with all columns, without those that hold a test item. Ids are taken to name documents; a null id stays with
-    its row only if no row with a null id holds one."""
-    hit = common.stash(find(docs, benchmark, **options).select(F.col("doc_id").alias("hit_id")).distinct(), "hits")
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
+    """docs, with all columns, without those that hold a test item. Rows with one id, or none, are told apart by their texts."""
+    hit = common.stash(_find(docs, benchmark, **options).select(F.col("doc_id").alias("hit_id"), F.col("tag").alias("hit_tag")).distinct(), "hits")
+    tagged = docs.withColumn("hit_key", common.text_tag())
+    return tagged.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("hit_key") == F.col("hit_tag")), "left_anti").select(*docs.columns)

@@ -59,7 +59,7 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.array([fingerprint(t.encode("utf-8", "replace")) for t in batch.column("text").to_pylist()], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "print"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(found.view(np.int64))], ["doc_id", "tag", "print"])
 
 
 def _mask(positions: tuple[int, ...]) -> int:
@@ -91,20 +91,28 @@ def _near_links(prints: DataFrame, bits: int, crowd: int) -> DataFrame:
     return links.unionByName(centres.join(hubs, "centre").where("print != v").select(F.col("print").alias("u"), "v"))
 
 
-def near_duplicates(docs: DataFrame, bits: int = 4, crowd: int = 1024) -> DataFrame:
-    """A row for each document: doc_id, fingerprint (16 hexadecimal digits) and component_id (smallest doc_id linked to it)."""
+def _labelled(docs: DataFrame, bits: int = 4, crowd: int = 1024) -> DataFrame:
+    """doc_id, tag (of the text) and print of each document, and (no_id, doc_id, tag) of the first of its component."""
     if not 0 <= bits <= 4:
         raise ValueError("the triples of byte positions guarantee at most 4 differing bits")
-    found = common.stash(common.ids_and_texts(docs).mapInArrow(_fingerprints, "doc_id long, print long"), "prints")
-    nodes = found.groupBy("print").agg(F.min("doc_id").alias("least"))
+    texts = common.ids_and_texts(docs).withColumn("tag", common.text_tag())
+    found = common.stash(texts.mapInArrow(_fingerprints, "doc_id long, tag long, print long"), "prints")
+    nodes = found.groupBy("print").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("tag"))).alias("least"))
     label = components.labels(_near_links(nodes.select("print"), bits, crowd))
     nodes = common.stash(nodes.join(label.withColumnRenamed("node", "print"), "print", "left").select("print", "least", F.coalesce("label", "print").alias("root")), "nodes")
-    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    nodes = common.stash(nodes.join(least, "root").select("print", "component_id"), "nodes")
-    return found.join(nodes, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    least = nodes.groupBy("root").agg(F.min("least").alias("first"))
+    nodes = common.stash(nodes.join(least, "root").select("print", "first"), "nodes")
+    return found.join(nodes, "print")
+
+
+def near_duplicates(docs: DataFrame, bits: int = 4, crowd: int = 1024) -> DataFrame:
+    """A row for each document: doc_id, fingerprint (16 hexadecimal digits) and component_id (smallest doc_id linked to it)."""
+    return _labelled(docs, bits, crowd).select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """docs, with all columns, without those that a document of their component with a smaller id precedes; of rows with one id one stays."""
-    first = near_duplicates(docs, **options).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
-    return docs.dropDuplicates(["doc_id"]).join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
+    """docs, with all columns: of each component one row stays, the one with the smallest id (a null one after all others).
+    Rows with one id, or none, and unlike texts are of different components and stay."""
+    first = _labelled(docs, **options).select(F.col("first.doc_id").alias("first_id"), F.col("first.tag").alias("first_tag")).distinct()
+    tagged = docs.withColumn("first_key", common.text_tag()).dropDuplicates(["doc_id", "first_key"])
+    return tagged.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("first_key") == F.col("first_tag")), "left_semi").select(*docs.columns)

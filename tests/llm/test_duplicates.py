@@ -254,6 +254,18 @@ def test_substrings_at_the_edges(edge_docs, no_docs):
     assert substring.remove_repeats(no_docs).count() == 0
 
 
+def test_unlike_rows_with_one_id_or_none_stay(spark):
+    rng = random.Random(21)
+    texts = [sentence(rng, 60) for _ in range(6)]
+    made = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[3]), (None, texts[4]), (9, texts[4]), (9, texts[5])]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"]) for r in rows(simhash.keep_first(docs))]
+    assert len(kept) == 6 and set(kept) == {(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (9, texts[4]), (9, texts[5])}
+    benchmark = spark.createDataFrame([(1, " ".join(texts[1].split()[10:40])), (2, texts[3])], "item_id long, text string")
+    left = [(r["doc_id"], r["text"]) for r in rows(decontaminate.drop_contaminated(docs, benchmark))]
+    assert len(left) == 5 and set(left) == {m for m in made if m[1] not in (texts[1], texts[3])}
+
+
 def test_shards_are_level(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
