@@ -1,19 +1,24 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
-Lines within `threshold` edits share one of threshold + 1 equal parts of the shorter one unchanged, near its place.
-Each distinct line is indexed by those parts, and probes the places of parts of lines as long as itself or up to
-threshold shorter; pairs that meet are verified by banded edit distance. A long part's key is the gram in it with the
-least hash: windows a few places apart mostly have the same one, so a line has few keys whatever the threshold. Lines
-under EDIT_CHARS * threshold characters are joined the same way with the fewer edits that are allowed to them. Where a
-key is common to more than `crowd` lines, the lines that hold it are not paired: what is left of them, without the gram,
-must also lie within threshold edits, so the same join runs on the rests, up to `depth` times. Only lines that agree in
-nearly all of their text are paired in the end, so a phrase that a third of all lines share costs no pairs.
-
-Exact copies are one class before the join. Edge cases: a null or empty text has no lines, nor does a line without a
-word. Lines under EDIT_CHARS characters are removed as exact copies only; those under min_chars have a class but no
-links, and aren't removed. Of copies the one with the smallest (doc_id, line_no) is first, a null id before others. A
-row repeated with its id is the same lines again. An empty table gives no rows; other columns are ignored by `link` and
-kept by `drop_lines`.
+Of two lines within k edits, the shorter one split into k + 1 equal segments, one segment stands unchanged in the other,
+moved by no more places than there are segments before it or after it. Each line is indexed by its segments, and probes
+those places for each length that a shorter partner may have. Neighbouring lengths share one segment size, so a line
+probes one or two partitions, seldom more. A segment's key is the gram in it with the least hash: places next to each
+other mostly have the same one, so a line has few keys whatever the threshold. What agrees in no key with another line
+is dropped on the keys alone; texts are fetched only for the lines left. Pairs whose letter counts allow few enough edits
+are verified by banded bit-parallel edit distance. Where a key is common to more than `crowd` lines, the lines that hold it are not paired: what is left of them,
+without the gram, must also lie within k edits, so the same join runs on the rests, `depth` times at most. So a phrase
+that a third of all lines share costs no pairs; lines that share `depth` grams, one in the rest of the other, are compared
+outright, however many they are.
+
+Exact copies are one class, told by two independent 64-bit hashes of the line. Two lines are linked within `threshold`
+edits and one for each EDIT_CHARS characters of the shorter one; lines under EDIT_CHARS characters have exact copies only,
+which go like others.
+
+Edge cases: a null or empty text has no lines, nor does a line without a word. Of copies the one with the smallest
+(doc_id, line_no) is first, a null id before others. A row repeated with its id is the same lines again. Lines of any
+length are read whole. An empty table gives no rows; other columns are ignored by `link` and kept by `drop_lines`,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -25,130 +30,232 @@ from inkfold.llm import common
 
 #: A line may differ by one edit for each so many characters, up to the threshold; shorter ones have exact copies only.
 EDIT_CHARS = 5
+WORDY = r"[^\x20\x09-\x0D]"
+
+
+def _once(value: Column, use) -> Column:
+    """use(value), where value is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """A row for each line with a word: doc_id, tag (of the text), line_no, chars, line."""
+    """A row for each line with a word: doc_id, tag (of the text), line_no, line, and its two hashes line_id and line_id2."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.crc32(text).alias("tag"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("chars", F.length("line"))
-
-
-def _gram(part: Column) -> Column:
-    """How many characters of a part make its key: all of a short one; steps of 8 keep lines of similar length alike."""
-    return F.when(part < 16, part).otherwise(F.floor(part / 8) * 8 - 8).cast("int")
-
-
-def _keys(s: Column, part: Column, i: int, lo: Column, up: Column) -> tuple[Column, Column]:
-    """(key, at, size) of all grams of the i-th part's windows, which start in lo to up; the distinct least ones of the windows."""
-    size = _gram(part)
-    text = s.substr(lo + 1, up - lo + part)
-    gram = F.transform(F.sequence(F.lit(0), up - lo + part - size), lambda j: F.struct(F.xxhash64(F.col("g"), size, F.lit(i), F.substr(text, j + 1, size)).alias("key"), (lo + j).alias("at"), size.alias("size")))
-    least = F.array_distinct(F.transform(F.sequence(F.lit(0), up - lo), lambda j: F.array_min(F.slice(F.col(f"grams{i}"), j + 1, part - size + 1))))
-    return gram, least
-
-
-def _explode(rows: DataFrame, bounds: list[tuple[Column, Column]]) -> DataFrame:
-    """(key, line_id, s, n, at, size) for rows with n and part; bounds are the first and last start of each part's windows."""
-    places = rows.select("*", *(c.alias(f"{side}{i}") for i, pair in enumerate(bounds) for side, c in zip(("lo", "up"), pair)))
-    both = [_keys(F.col("s"), F.col("part"), i, F.col(f"lo{i}"), F.col(f"up{i}")) for i in range(len(bounds))]
-    fits = [F.col(f"up{i}") >= F.col(f"lo{i}") for i in range(len(bounds))]
-    grams = places.select("*", *(F.when(fit, gram).alias(f"grams{i}") for i, (fit, (gram, _)) in enumerate(zip(fits, both))))
-    none = F.array().cast("array<struct<key: bigint, at: int, size: int>>")
-    found = F.concat(*(F.when(fit, least).otherwise(none) for fit, (_, least) in zip(fits, both)))
-    return grams.select("line_id", "s", "n", F.explode(found).alias("k")).select("k.key", "line_id", "s", "n", "k.at", "k.size")
-
-
-def _start(n: Column, i: int, threshold: int) -> Column:
-    return F.floor(n * i / F.lit(threshold + 1)).cast("int")
-
-
-def _index(rows: DataFrame, threshold: int) -> DataFrame:
-    """The key of each of a line's own parts."""
-    n = F.col("n")
-    sized = rows.select("g", "line_id", "s", F.length("s").alias("n")).withColumn("part", _start(n, 1, threshold))
-    return _explode(sized, [(_start(n, i, threshold),) * 2 for i in range(threshold + 1)])
-
-
-def _probe(rows: DataFrame, threshold: int) -> DataFrame:
-    """The keys of each place where a line as long or up to threshold shorter could have its part."""
-    n, part = F.col("n"), F.col("part")
-    sized = rows.select("g", "line_id", "s", F.length("s").alias("n"))
-    # Lines up to threshold shorter have parts of at most two sizes.
-    sized = sized.withColumn("part", F.explode(F.array_distinct(F.array(_start(n, 1, threshold), _start(F.greatest(n - threshold, F.lit(0)), 1, threshold)))))
-    bounds = []
-    for i in range(threshold + 1):
-        lo, up = [], []
-        for less in range(threshold + 1):
-            fits = (_start(n - less, 1, threshold) == part) & (n > less)
-            lo.append(F.when(fits, _start(n - less, i, threshold) + max(-i, less - (threshold - i))))
-            up.append(F.when(fits, _start(n - less, i, threshold) + min(i, less + threshold - i)))
-        bounds.append((F.greatest(F.least(*lo), F.lit(0)), F.least(F.greatest(*up), n - part)))
-    return _explode(sized, bounds)
-
-
-def _rest() -> Column:
-    """The line without its shared part; a mark keeps what was before it apart from what was after."""
-    return F.concat(F.col("s").substr(F.lit(1), F.col("at")), F.lit("\n"), F.col("s").substr(F.col("at") + F.col("size") + 1, F.length("s")))
-
-
-def _meet(indexed: DataFrame, probing: DataFrame, threshold: int, crowd: int, depth: int) -> DataFrame:
-    """Pairs (a, b) of lines that may lie within threshold edits; no such pair of a row of indexed and one of probing is missed."""
-    index, probe = _index(indexed, threshold), _probe(probing, threshold)
-    one, other = index.select("key", F.col("line_id").alias("a"), F.col("n").alias("n_a")), probe.select("key", F.col("line_id").alias("b"), F.col("n").alias("n_b"))
-    longer = F.col("n_b") - F.col("n_a")
-    ordered = longer.between(1, threshold) | ((longer == 0) & (F.col("a") < F.col("b")))
-    if depth <= 1:
-        return one.join(other, "key").where(ordered).select("a", "b")
-    crowded = common.stash(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("key"), "crowded")
-    pairs = one.join(crowded, "key", "left_anti").join(other, "key").where(ordered).select("a", "b")
-    if crowded.isEmpty():
-        return pairs
-    left = common.stash(index.join(crowded, "key", "left_semi").select(F.col("key").alias("g"), "line_id", _rest().alias("s")), "rest")
-    right = common.stash(probe.join(crowded, "key", "left_semi").select(F.col("key").alias("g"), "line_id", _rest().alias("s")), "rest")
-    return pairs.unionByName(_meet(left, right, threshold, crowd, depth - 1))
-
-
-def link(docs: DataFrame, threshold: int = 4, min_chars: int = 1, crowd: int = 64, depth: int = 5) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_tag().alias("tag"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    return rows.where(F.col("line").rlike(WORDY)).withColumns({"line_id": F.xxhash64("line"), "line_id2": F.xxhash64(F.lit(1), "line")})
+
+
+def _bucket(n: Column) -> Column:
+    """The least length that shares n's segment size: steps of 1 below 8, then at most a quarter of n."""
+    step = F.call_function("shiftleft", F.lit(1), F.greatest(F.length(F.bin(n.cast("long"))) - 3, F.lit(0)))
+    return n - n % step
+
+
+def _partitions(rows: DataFrame, allowed, threshold: int) -> DataFrame:
+    """Rows g, line_id, s once for each partition that a line is in: g, line_id, n, chars, b (least length of the partition), k
+    (edits), mine (its own, not that of shorter lines), part (size of a segment) and size (of a gram)."""
+
+    def partition(less: int) -> Column:
+        m = F.col("n") - less
+        return _once(F.struct(_bucket(m).alias("b"), allowed(m).cast("int").alias("k"), F.lit(less == 0).alias("mine")), lambda x: F.when((x["k"] >= max(less, 1)) & (x["b"] >= 2 * (x["k"] + 1)), x))
+
+    def unlike(found: Column) -> Column:  # the line's own partition comes first, so a later one that is equal goes
+        return F.filter(found, lambda x, i: ~F.exists(F.slice(found, 1, i), lambda y: (y["b"] == x["b"]) & (y["k"] == x["k"])))
+
+    found = _once(F.array_compact(F.array(*(partition(less) for less in range(threshold + 1)))), unlike)
+    placed = rows.withColumn("n", F.length("s")).select("g", "line_id", "s", "n", F.explode(found).alias("p")).select("g", "line_id", "n", F.encode("s", "UTF-32").alias("chars"), "p.*")
+    placed = placed.withColumn("part", F.floor(F.col("b") / (F.col("k") + 1)).cast("int"))
+    return placed.withColumn("size", F.col("part") - F.least(F.greatest(F.col("part") - 12, F.lit(0)), F.lit(10)))
+
+
+def _segments(use) -> Column:
+    """use(grams, i, lo, up, start) for each segment i: the hashes of the grams in the windows that start in lo to up; start
+    is the segment's own place."""
+    n, k, part, size = (F.col(c) for c in ("n", "k", "part", "size"))
+
+    def segment(i: Column) -> Column:
+        start = part * i
+        lo, up = F.greatest(start - F.least(i, k - i), F.lit(0)), F.least(start + i, n - part)
+        grams = F.transform(F.sequence(lo, up + part - size), lambda j: F.xxhash64(F.substring(F.col("chars"), 4 * j + 1, 4 * size)))
+        return _once(grams, lambda g: use(g, i, lo, up, start))
+
+    return F.transform(F.sequence(F.lit(0), k), segment)
+
+
+def _key(least: Column, i: Column) -> Column:
+    return F.xxhash64("g", "b", "k", i, least)
+
+
+def _window(grams: Column, at: Column, lo: Column) -> Column:
+    return F.slice(grams, at - lo + 1, F.col("part") - F.col("size") + 1)
+
+
+def _keys(placed: DataFrame) -> DataFrame:
+    """line_id, n, k, own (the keys of a line's own segments, by which it is indexed) and keys (those it only probes)."""
+
+    def both(grams: Column, i: Column, lo: Column, up: Column, start: Column) -> Column:
+        least = lambda at: _key(F.array_min(_window(grams, at, lo)), i)
+        return F.struct(F.when(F.col("mine"), least(start)).alias("own"), F.transform(F.sequence(lo, up), least).alias("keys"))
+
+    found = placed.select("line_id", "n", "k", F.explode(F.array(_segments(both))).alias("x"))
+    own = F.array_compact("x.own")
+    return found.select("line_id", "n", "k", own.alias("own"), F.array_except(F.flatten("x.keys"), own).alias("keys"))
+
+
+def _rests(placed: DataFrame, crowded: DataFrame, texts: DataFrame) -> DataFrame:
+    """(g, line_id, k, s) for each crowded key of a line: what is left of it without the gram; a mark keeps what was before it
+    apart from what was after."""
+
+    def places(grams: Column, i: Column, lo: Column, up: Column, start: Column) -> Column:
+        def place(at: Column) -> Column:
+            return _once(_window(grams, at, lo), lambda w: F.struct(_key(F.array_min(w), i).alias("key"), (at + F.array_position(w, F.array_min(w)) - 1).cast("int").alias("at")))
+
+        return F.transform(F.sequence(lo, up), place)
+
+    spots = placed.select("g", "line_id", "k", "size", F.explode(F.flatten(_segments(places))).alias("x")).select("x.key", "g", "line_id", "k", "size", "x.at").distinct()
+    rest = F.concat(F.col("s").substr(F.lit(1), F.col("at")), F.lit("\n"), F.col("s").substr(F.col("at") + F.col("size") + 1, F.length("s")))
+    return spots.join(crowded, "key", "left_semi").join(texts.select("g", "line_id", "s"), ["g", "line_id"]).select(F.col("key").alias("g"), "line_id", "k", rest.alias("s")).distinct()
+
+
+def _held(keyed: DataFrame) -> DataFrame:
+    """key, line_id, n, k, own and lines (how many distinct lines have the key) of the keys that a line's own segments share
+    with other lines."""
+    tagged = lambda keys, own: F.transform(keys, lambda x: F.struct(x.alias("key"), F.lit(own).alias("own")))
+    both = F.concat(tagged("own", True), tagged("keys", False))
+    flat = keyed.select("line_id", "n", "k", F.explode(both).alias("x")).select("x.key", "line_id", "n", "k", "x.own")
+    shared = flat.groupBy("key").agg(F.count(F.lit(1)).alias("lines"), F.max("own").alias("indexed")).where("lines > 1 and indexed")
+    # Copies of a line, and places in it with one gram, are one row from here on.
+    met = common.stash(flat.join(shared.select("key"), "key").groupBy("key", "line_id", "n", "k").agg(F.max("own").alias("own")), "met")
+    shared = met.groupBy("key").agg(F.count(F.lit(1)).alias("lines"), F.max("own").alias("indexed")).where("lines > 1 and indexed")
+    return met.join(shared.drop("indexed"), "key")
+
+
+def _key_pairs(held: DataFrame) -> DataFrame:
+    """(a, b) for lines with a common key, a's own, where b is as long or up to k longer."""
+    a = held.where("own").select("key", F.col("line_id").alias("a"), F.col("n").alias("n_a"), "k")
+    b = held.select("key", F.col("line_id").alias("b"), F.col("n").alias("n_b"))
+    return a.join(b, "key").where((F.col("n_b") - F.col("n_a")).between(0, F.col("k")) & (F.col("a") != F.col("b"))).select("a", "b")
+
+
+def _short_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b) for rests of one key with hardly more characters than edits: most of these are links."""
+    sized = rows.withColumn("n", F.length("s"))
+    a = sized.where(F.col("n") < 2 * (F.col("k") + 1)).select("g", F.col("line_id").alias("a"), F.col("n").alias("n_a"), "k")
+    b = sized.where(F.col("n") < 3 * F.col("k") + 2).select("g", F.col("line_id").alias("b"), F.col("n").alias("n_b"))
+    return a.join(b, "g").where((F.col("n_b") - F.col("n_a")).between(0, F.col("k")) & (F.col("a") != F.col("b"))).select("a", "b")
+
+
+def _candidates(every: DataFrame, threshold: int, crowd: int, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of line_ids, a before b, that may be links, none of those missed; and the lines they name (line_id, line_id2, s)."""
+    texts, pairs, rows = None, None, every.select(F.lit(0).cast("long").alias("g"), "line_id", F.col("line").alias("s"))
+    allowed = lambda m: F.least(F.floor(m / EDIT_CHARS), F.lit(threshold))
+    for level in range(1, depth + 1):
+        held = common.stash(_held(common.stash(_keys(_partitions(rows, allowed, threshold)), "keys")), "held")
+        if texts is None:
+            named = held.select("line_id").distinct()
+            texts = common.stash(every.join(named, "line_id", "left_semi").groupBy("line_id", "line_id2").agg(F.first("line").alias("s")), "texts")
+            rows = texts.select(F.lit(0).cast("long").alias("g"), "line_id", "s")
+        calm = _key_pairs(held.where(F.col("lines") <= crowd) if level < depth else held)
+        pairs = calm if pairs is None else pairs.unionByName(calm)
+        crowded = held.where(F.col("lines") > crowd)
+        if level == depth or crowded.isEmpty():
+            break
+        crowding = rows.join(crowded.select("line_id").distinct(), "line_id", "left_semi")
+        rows = common.stash(_rests(_partitions(crowding, allowed, threshold), crowded.select("key").distinct(), rows), "rests")
+        allowed = lambda m: F.when(m > 0, F.col("k")).otherwise(0)
+        pairs = pairs.unionByName(_short_pairs(rows))
+    pairs = _alike(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts, threshold)
+    return common.stash(pairs.repartition(common.spark_partitions(every.sparkSession)), "pairs"), texts  # few bytes, much work
+
+
+def _letters() -> Column:
+    """How often each of eight letters is in s, eight bits for each, counted up to 127."""
+    count = lambda c: F.least(F.length("s") - F.length(F.translate("s", c, "")), F.lit(127)).cast("long")
+    return sum((F.shiftleft(count(c), 8 * i) for i, c in enumerate("enitarso")), F.lit(0).cast("long"))
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """The pairs whose letters allow so few edits: an edit takes one letter away at most, and puts one in at most."""
+    for x in ("a", "b"):
+        pairs = pairs.join(texts.select(F.col("line_id").alias(x), _letters().alias(f"letters_{x}")), x)
+    more, fewer = F.lit(0), F.lit(0)
+    for i in range(8):
+        a, b = (F.shiftright(f"letters_{x}", 8 * i).bitwiseAND(F.lit(127)) for x in ("a", "b"))
+        more, fewer = more + F.greatest(a - b, F.lit(0)), fewer + F.greatest(b - a, F.lit(0))
+    return pairs.where((more <= threshold) & (fewer <= threshold)).select("a", "b").distinct()
+
+
+def edits_within(a: Column, b: Column, k: int) -> Column:
+    """The edit distance of two arrays of characters, of lengths that differ by at most k and are over k, if it is at most
+    k; else something over k. Banded and bit-parallel: a number's 2k + 1 bits are the differences along a column of the
+    table within k places of the diagonal, and each character of b takes a fixed number of steps on them."""
+    band, m = 2 * k + 1, F.size(a)
+    ones, top = (1 << band) - 1, 1 << (band - 1)
+    left = lambda x, i: F.call_function("shiftleft", x, i)
+    right = lambda x: F.shiftright(x, 1)
+
+    def equal(j: Column) -> Column:
+        return sum((F.when(F.get(a, j + (i - k)) == F.get(b, j), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(band)), F.lit(0))
+
+    def step(acc: Column, x: Column) -> Column:
+        vp, vn = acc["vp"], acc["vn"]
+
+        def after(d: Column) -> Column:
+            hp, hn = vn.bitwiseOR(d.bitwiseOR(vp).bitwiseXOR(F.lit(ones))), d.bitwiseAND(vp)
+            at = left(F.lit(1), F.greatest(m + (k - 1) - x["j"], F.lit(0)).cast("int"))  # the last row's bit, once it is in the band
+            below = F.when(d.bitwiseAND(F.lit(top)) == 0, 1).otherwise(0)
+            along = F.when(hp.bitwiseAND(at) != 0, 1).when(hn.bitwiseAND(at) != 0, -1).otherwise(0)
+            down = right(d)
+            return F.struct(hn.bitwiseOR(down.bitwiseOR(hp).bitwiseXOR(F.lit(ones))).alias("vp"), down.bitwiseAND(hp).alias("vn"), (acc["far"] + F.when(x["j"] < m - k, below).otherwise(along)).alias("far"))
+
+        e = x["e"]
+        return _once(e.bitwiseAND(vp).__add__(vp).bitwiseXOR(vp).bitwiseOR(e).bitwiseOR(vn).bitwiseAND(F.lit(ones)), after)
+
+    columns = F.transform(F.sequence(F.lit(0), F.size(b) - 1), lambda j: F.struct(j.alias("j"), equal(j).alias("e")))
+    start = F.struct(F.lit(((1 << (k + 1)) - 1) << k).alias("vp"), F.lit(0).alias("vn"), F.lit(k).alias("far"))
+    return F.aggregate(columns, start, step, lambda acc: acc["far"])
+
+
+def _near(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """The pairs that are links, with both hashes of both lines: a, a2, b, b2."""
+    side = lambda x: texts.select(F.col("line_id").alias(x), F.col("line_id2").alias(f"{x}2"), F.col("s").alias(f"s_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    allowed = F.least(F.lit(threshold), F.floor(F.least(F.length("s_a"), F.length("s_b")) / EDIT_CHARS))
+    both = both.where(F.abs(F.length("s_a") - F.length("s_b")) <= allowed)
+    edits = _once(F.split("s_a", ""), lambda x: _once(F.split("s_b", ""), lambda y: edits_within(x, y, threshold)))
+    return both.where(edits <= allowed).select("a", "a2", "b", "b2")
+
+
+def link(docs: DataFrame, threshold: int = 4, crowd: int = 32, depth: int = 3) -> DataFrame:
     """A row for each line with a word: doc_id, line_no, tag; its class of equal lines (class_doc_id and class_line_no of
     the first, n_copies), n_links (other distinct lines within the edits allowed: threshold, and one for each EDIT_CHARS
     characters of the shorter line) and removed (an equal or linked line comes first)."""
-    every = lines(docs).withColumn("line_id", F.xxhash64("line", "chars"))
+    every, ids = lines(docs), ["line_id", "line_id2"]
     place = F.struct(F.col("doc_id"), F.col("line_no"))
-    distinct = common.stash(every.groupBy("line_id", "chars").agg(F.first("line").alias("line"), F.min(place).alias("first"), F.count(F.lit(1)).alias("n_copies")), "lines")
-    long = distinct.where(F.col("chars") >= min_chars)
-    pairs = docs.sparkSession.createDataFrame([], "a long, b long")
-    for t in range(1, threshold + 1):
-        shortest, end = max(min_chars, EDIT_CHARS * t), EDIT_CHARS * (t + 1) if t < threshold else None
-        if end is None or shortest < end:
-            rows = long.where(F.col("chars") >= shortest).select(F.lit(t).cast("long").alias("g"), "line_id", F.col("line").alias("s"), "chars")
-            index, probe = (rows, rows) if end is None else (rows.where(F.col("chars") < end), rows.where(F.col("chars") < end + t))
-            pairs = pairs.unionByName(_meet(index.drop("chars"), probe.drop("chars"), t, crowd, depth))
-    pairs = common.stash(pairs.distinct(), "pairs")
-    a = long.select(F.col("line_id").alias("a"), F.col("line").alias("line_a"), F.col("first").alias("first_a"))
-    b = long.select(F.col("line_id").alias("b"), F.col("line").alias("line_b"), F.col("first").alias("first_b"))
-    allowed = F.least(F.lit(threshold), F.floor(F.least(F.length("line_a"), F.length("line_b")) / EDIT_CHARS))
-    near = pairs.join(a, "a").join(b, "b").where(F.levenshtein("line_a", "line_b", threshold).between(0, allowed))
-    near = common.stash(near.select("a", "b", "first_a", "first_b"), "near")
-    sides = near.select(F.col("a").alias("line_id"), F.col("first_b").alias("peer")).unionByName(near.select(F.col("b").alias("line_id"), F.col("first_a").alias("peer")))
-    links = sides.groupBy("line_id").agg(F.count(F.lit(1)).alias("n_links"), F.min("peer").alias("peer"))
-    classes = distinct.where(F.col("n_copies") > 1).select("line_id", "first", "n_copies")
-    known = classes.join(links, "line_id", "full_outer")
-    out = every.select("doc_id", "tag", "line_no", "line_id", "chars").join(known, "line_id", "left")
-    out = out.withColumn("first", F.coalesce("first", place))
-    later = (place > F.col("first")) | F.coalesce(F.col("peer") < F.col("first"), F.lit(False))
+    near = common.stash(_near(*_candidates(every, threshold, crowd, depth), threshold), "near")
+    classes = common.stash(every.groupBy(*ids).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n_copies")), "classes")
+    sides = near.select(F.col("a").alias("line_id"), F.col("a2").alias("line_id2"), F.col("b").alias("peer"), F.col("b2").alias("peer2"))
+    sides = sides.unionByName(near.select(F.col("b").alias("line_id"), F.col("b2").alias("line_id2"), F.col("a").alias("peer"), F.col("a2").alias("peer2")))
+    firsts = classes.select(F.col("line_id").alias("peer"), F.col("line_id2").alias("peer2"), F.col("first").alias("peer_first"))
+    links = sides.join(firsts, ["peer", "peer2"]).groupBy(*ids).agg(F.count(F.lit(1)).alias("n_links"), F.min("peer_first").alias("peer_first"))
+    # Lines alone in their class and without links need no partner.
+    known = classes.where("n_copies > 1").join(links, ids, "full_outer")
+    out = every.select("doc_id", "tag", "line_no", *ids).join(known, ids, "left").withColumn("first", F.coalesce("first", place))
+    removed = (place > F.col("first")) | F.coalesce(F.col("peer_first") < F.col("first"), F.lit(False))
     return out.select(
         "doc_id", "tag", F.col("line_no").cast("long").alias("line_no"), F.col("first.doc_id").alias("class_doc_id"), F.col("first.line_no").cast("long").alias("class_line_no"),
-        F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (later & (F.col("chars") >= min_chars)).alias("removed"),
+        F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), removed.alias("removed"),
     )
 
 
 def drop_lines(docs: DataFrame, **options) -> DataFrame:
     """docs, with all columns, without the lines that an equal or linked line precedes. A document that loses all its
     words this way goes; one without any before stays."""
-    gone = link(docs, **options).where("removed").groupBy(F.col("doc_id").alias("gone_id"), F.col("tag").alias("gone_tag")).agg(F.collect_set("line_no").alias("gone_lines"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    joined = docs.withColumn("gone_key", F.crc32(text)).join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("gone_key") == F.col("gone_tag")), "left")
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("gone_lines"), i.cast("long"))), "\n")
-    out = joined.withColumn("text_left", F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(left)).where(F.col("gone_lines").isNull() | F.col("text_left").rlike(r"[^\x20\x09-\x0D]"))
-    return out.select(*(F.col("text_left").alias(c) if c == "text" else F.col(c) for c in docs.columns))
+    gone = link(docs, **options).where("removed").groupBy(F.col("doc_id").alias("id"), "tag").agg(F.collect_set(F.col("line_no").cast("int")).alias("gone"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), common.text_tag().alias("tag"))
+    joined = rows.alias("r").join(gone.alias("g"), F.col("r.id").eqNullSafe(F.col("g.id")) & (F.col("r.tag") == F.col("g.tag")), "left").select("row", "gone")
+    pieces = F.split(F.col("row.text"), "\n")
+    left = _once(pieces, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")), lambda i: F.get(x, i)), "\n"))
+    out = joined.select("row", F.col("gone").isNull().alias("whole"), F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(left).alias("left"))
+    out = out.where(F.col("whole") | F.col("left").rlike(WORDY))
+    return out.select(*(F.col("left").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from inkfold.llm import common, components, decontaminate, line_dedup, sharding, simhash, substring
@@ -50,8 +51,8 @@ def line_texts(seed: int) -> list[tuple[int, str]]:
     return out
 
 
-@pytest.mark.parametrize(("threshold", "crowd", "depth"), [(1, 2, 4), (2, 3, 3), (1, 1000, 2)])
-def test_lines_link_as_brute_force_says(spark, threshold, crowd, depth):
+@pytest.mark.parametrize(("threshold", "crowd"), [(1, 4), (2, 8), (3, 1000)])
+def test_lines_link_as_brute_force_says(spark, threshold, crowd):
     texts = line_texts(threshold)
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     every = [(d, k, x) for d, t in texts for k, x in enumerate(t.split("\n"))]
@@ -59,13 +60,13 @@ def test_lines_link_as_brute_force_says(spark, threshold, crowd, depth):
     first, copies = {}, Counter(x for _, _, x in every)
     for d, k, x in every:
         first[x] = min(first.get(x, (d, k)), (d, k))
-    near = {x: [y for y in distinct if y != x and len(x) >= 20 and len(y) >= 20 and edits(x, y) <= threshold] for x in distinct}
-    found = {(r["doc_id"], r["line_no"]): r for r in rows(line_dedup.link(docs, threshold, 20, crowd, depth))}
+    near = {x: [y for y in distinct if y != x and edits(x, y) <= min(threshold, len(x) // 5, len(y) // 5)] for x in distinct}
+    found = {(r["doc_id"], r["line_no"]): r for r in rows(line_dedup.link(docs, threshold, crowd))}
     assert len(found) == len(every)
     for d, k, x in every:
         r = found[d, k]
         assert (r["class_doc_id"], r["class_line_no"]) == first[x] and r["n_copies"] == copies[x] and r["n_links"] == len(near[x])
-        assert r["removed"] == (len(x) >= 20 and ((d, k) > first[x] or any(first[y] < first[x] for y in near[x])))
+        assert r["removed"] == ((d, k) > first[x] or any(first[y] < first[x] for y in near[x]))
 
 
 def test_default_links_reach_four_edits_and_short_lines(spark):
@@ -85,11 +86,47 @@ def test_default_links_reach_four_edits_and_short_lines(spark):
     distinct = set(made)
     first = {x: made.index(x) for x in distinct}
     near = {x: [y for y in distinct if y != x and abs(len(x) - len(y)) <= 4 and edits(x, y) <= min(4, len(x) // 5, len(y) // 5)] for x in distinct}
-    for crowd in (64, 3):
+    for crowd in (64, 12):
         found = {r["doc_id"]: (r["n_links"], r["removed"]) for r in rows(line_dedup.link(docs, crowd=crowd))}
         assert found == {d: (len(near[x]), d > first[x] or any(first[y] < first[x] for y in near[x])) for d, x in enumerate(made)}
 
 
+def test_banded_edits(spark):
+    rng = random.Random(4)
+    made = []
+    for _ in range(600):
+        a = "".join(rng.choice("abé") for _ in range(rng.randrange(5, 30)))
+        x = list(a)
+        for _ in range(rng.randrange(7)):
+            at = rng.randrange(len(x) + 1)
+            x[at : at + rng.randrange(2)] = rng.choice(["", "k", "ab"])
+        if abs(len(a) - len("".join(x))) <= 4 and len("".join(x)) > 4:
+            made.append((a, "".join(x), edits(a, "".join(x))))
+    found = spark.createDataFrame(made, "a string, b string, d int").select("d", line_dedup.edits_within(F.split("a", ""), F.split("b", ""), 4).alias("e"))
+    assert all(min(r["d"], 5) == min(r["e"], 5) for r in found.collect())
+
+
+def test_many_like_lines_and_periodic_ones(spark):
+    rng = random.Random(8)
+    made = [f"Item number {rng.randrange(10**6):06d} of the list is out of stock today" for _ in range(60)]
+    made += ["ha " * 40 + "ha" * k for k in range(4)] + ["a" * n for n in (30, 31, 33, 60)]
+    distinct = set(made)
+    near = {x: sum(y != x and abs(len(x) - len(y)) <= 4 and edits(x, y) <= min(4, len(x) // 5, len(y) // 5) for y in distinct) for x in distinct}
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    for crowd in (16,):
+        assert {r["doc_id"]: r["n_links"] for r in rows(line_dedup.link(docs, crowd=crowd))} == {d: near[x] for d, x in enumerate(made)}
+
+
+def test_columns_with_inner_names_and_lines_left(spark):
+    names = ["gone_key", "gone_id", "gone_tag", "gone_lines", "text_left", "gone", "whole", "left", "row", "id", "first_id", "first_key", "hit_id", "hit_key"]
+    texts = [(1, "one line here\ntwo lines there"), (2, "two lines there\nthree of them"), (None, "one line here"), (3, "one line here\n\nfour more of these")]
+    docs = spark.createDataFrame([(i, t, *[str(k)] * len(names)) for k, (i, t) in enumerate(texts)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    left = rows(line_dedup.drop_lines(docs))
+    assert {(r["doc_id"], r["text"], r["left"], r["row"]) for r in left} == {(1, "two lines there", "0", "0"), (2, "three of them", "1", "1"), (None, "one line here", "2", "2"), (3, "\nfour more of these", "3", "3")}
+    benchmark = spark.createDataFrame([(1, "three of them and more")], "item_id long, text string")
+    assert rows(simhash.keep_first(docs)) and simhash.keep_first(docs).columns == decontaminate.drop_contaminated(docs, benchmark).columns == docs.columns
+
+
 def test_lines_at_the_edges(edge_docs, no_docs):
     left = line_dedup.drop_lines(edge_docs)
     assert left.columns == edge_docs.columns
