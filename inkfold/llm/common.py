@@ -61,10 +61,12 @@ def spark_partitions(spark: SparkSession) -> int:
 
 def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], share: int = 1000) -> DataFrame:
     """rows joined with groups (a row for each key; column n: how many rows have it). Keys that hold over one in `share`
-    of the counted rows are joined by broadcast, so no task gets all rows of a common key. There are fewer than `share`
-    such keys at any size of the input. Both sides are read twice: give written tables."""
+    of the counted rows, so fewer than `share` of them at any size, are joined by broadcast: no task gets all rows of a
+    common key. Both sides are read twice: give written tables."""
     counted = groups.agg(F.sum("n")).first()[0] or 0
-    common_key = F.col("n") * share > counted
-    few = groups.where(common_key)
-    rest = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(groups.where(~common_key), keys)
-    return rows.join(F.broadcast(few), keys).unionByName(rest)
+    place = F.xxhash64(*keys)
+    common_keys = [r[0] for r in groups.where(F.col("n") * share > counted).select(place).collect()]
+    if not common_keys:
+        return rows.join(groups, keys)
+    few, rest = place.isin(common_keys), ~place.isin(common_keys)
+    return rows.where(few).join(F.broadcast(groups.where(few)), keys).unionByName(rows.where(rest).join(groups.where(rest), keys))

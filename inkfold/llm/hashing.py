@@ -24,7 +24,8 @@ def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(base, max(12, (n + 1).bit_length()))
+    bits = max(12, (n + 1).bit_length())
+    return _powers(base, bits) if bits <= 20 else _powers.__wrapped__(base, bits)  # those of very long texts aren't held
 
 
 def mix(x: np.ndarray) -> np.ndarray:

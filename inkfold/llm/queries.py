@@ -56,5 +56,17 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_pii, op4_line_dedup, op5_lm_scoring, op6_quality, op7_simhash, op8_decontamination, op9_substring_dedup, op10_sharding)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
-#: The operators keep no oracle where the method's own outcome (weights, hashes, an online order) is not SQL; brute-force tests stand in.
-ORACLES: dict[str, str] = {}
+#: Weights, 64-bit hashes and online orders aren't SQL, and an edit distance over characters isn't DuckDB's: there,
+#: brute-force tests stand in.
+ORACLES: dict[str, str] = {
+    "op9_substring_dedup": r"""
+WITH texts AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM texts),
+windows AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS content FROM starts),
+firsts AS (SELECT content, min(doc_id) AS first_id FROM windows GROUP BY content),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM windows JOIN firsts USING (content) WHERE doc_id > first_id),
+each AS (SELECT doc_id, words[j] AS word, j FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS j FROM texts)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS left_over, count(*) AS n_kept FROM each ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(left_over, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)""",
+}

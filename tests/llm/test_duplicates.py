@@ -285,6 +285,14 @@ def test_common_keys_join_like_others(spark, share):
     assert common.join_counted(table, groups.limit(0), ["k"], share).count() == 0
 
 
+def test_nonbranching_paths_compact(spark):
+    # One path of 9 edges whose node after the fourth branches; sources go on within a document.
+    chain = [(e, e, e + 1, 1, 5, e * 3, 52) for e in range(9)] + [(100, 4, 50, 2, 6, 0, 52), (101, 50, 51, 2, 6, 40, 52)]
+    edges = spark.createDataFrame(chain, "edge long, left long, right long, doc_id long, tag long, start int, size int")
+    found = {(r["edge"], r["head"], r["offset"]) for r in rows(substring.compact(edges))}
+    assert found == {(e, 0, 3 * e) for e in range(1, 4)} | {(e, 4, 3 * (e - 4)) for e in range(5, 9)}
+
+
 def test_substrings_at_the_edges(edge_docs, no_docs):
     found = rows(substring.remove_repeats(edge_docs))
     assert len(found) == edge_docs.count() and all(r["n_removed"] == 0 for r in found)
