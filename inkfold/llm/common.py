@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkfold.sources.scratch import stored as stash  # noqa: F401
+
 #: The separators of words: space, tab, newline, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 #: The same as a Java pattern.
@@ -18,23 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir; a temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="inkfold-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/inkfold/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ids_and_texts(docs: DataFrame) -> DataFrame:
     """doc_id and text alone (a null text is empty), whatever other columns docs has."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -45,6 +27,11 @@ def text_tag() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
+def identity(doc_id: Column, tag: Column) -> list[Column]:
+    """no_id, id and tag: columns without nulls that tell rows apart by their ids and texts."""
+    return [doc_id.isNull().alias("no_id"), F.coalesce(doc_id, F.lit(0)).alias("id"), tag.alias("tag")]
+
+
 def id_crc(column: str = "doc_id") -> Column:
     """crc32 of the id written as text."""
     return F.crc32(F.col(column).cast("string"))

@@ -1,14 +1,15 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Each test item is seeded with all its trigrams, rare or not, so that which seeds there are depends neither on the size of
-the corpus nor on how often the item is copied. Documents are joined to items on the seeds, and around each seed the item
+Each test item is seeded with all its trigrams, not only with rare ones: with a third of its words changed an item may
+keep any of them, so each subset would lose edited copies, and which are rare would depend on the size of the corpus and
+on how often the item is copied. Items of one or two words are seeded with themselves. Documents are joined to items on the seeds, and around each seed the item
 is aligned word by word with the document, unless too few of its words are there at all; the score is 1 for the whole
 item in place and loses for words that are changed, left out or put in. Copies with no three words in a row unchanged
 share no seed and aren't found.
 Items are handled in blocks of bounded size, each in a pass over all documents, so what is sent to the tasks is bounded.
 
 Words are runs of letters and digits, in lower case. Edge cases: null, empty and blank texts have no words and match
-nothing, nor do items of fewer than three words. Long texts are read whole. Repeated rows and equal items each give
+nothing; items of one or two words match in place only. Long texts are read whole. Repeated rows and equal items each give
 their rows. With an empty table on either side there are no rows. Other columns are ignored by `find` and kept by
 `drop_contaminated`. Of alignments with equal scores the first in the document counts.
 """
@@ -72,16 +73,17 @@ def align(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int]:
 def _matcher(held, threshold: float):
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = held.value
-        keys, first, last, owners, places = (block[k] for k in ("keys", "first", "last", "owners", "places"))
+        keys, first, last, owners, places, grams = (block[k] for k in ("keys", "first", "last", "owners", "places", "grams"))
         for batch in batches:
             rows = []
             for doc_id, tag, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "text"))):
                 w = words(text)
-                at = _lookup(keys, hashing.run_hashes(w, GRAM))
                 hits = defaultdict(list)
-                for p in np.flatnonzero(at >= 0):
-                    for k in range(first[at[p]], last[at[p]]):
-                        hits[owners[k]].append(p - places[k])
+                for gram in grams:
+                    at = _lookup(keys, hashing.run_hashes(w, gram))
+                    for p in np.flatnonzero(at >= 0):
+                        for k in range(first[at[p]], last[at[p]]):
+                            hits[owners[k]].append(p - places[k])
                 for k, begins in hits.items():
                     item, best, reach = block["items"][k], (0.0, 0, 0), -1
                     slack = len(item) // 2 + 2
@@ -111,13 +113,13 @@ def _matcher(held, threshold: float):
 def _seeds(items: list[np.ndarray]) -> dict:
     chosen = defaultdict(list)
     for k, item in enumerate(items):
-        for p, gram in enumerate(hashing.run_hashes(item, GRAM)):
+        for p, gram in enumerate(hashing.run_hashes(item, min(GRAM, len(item)))):
             chosen[int(gram)].append((k, p))
     keys = np.array(sorted(chosen), np.uint64)
     size = np.array([len(chosen[int(x)]) for x in keys], np.int64)
     flat = [x for key in keys for x in chosen[int(key)]]
     ends = np.cumsum(size)
-    return {"keys": keys, "first": ends - size, "last": ends, "owners": [k for k, _ in flat], "places": [p for _, p in flat]}
+    return {"grams": sorted({min(GRAM, len(item)) for item in items}), "keys": keys, "first": ends - size, "last": ends, "owners": [k for k, _ in flat], "places": [p for _, p in flat]}
 
 
 def _find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block_items: int = 20_000, block_chars: int = 16_000_000) -> DataFrame:
@@ -129,7 +131,7 @@ def _find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block_i
     out = None
     for b in range(blocks):
         rows = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        pairs = [(r["item_id"], w) for r in rows if len(w := words(r["text"])) >= GRAM]
+        pairs = [(r["item_id"], w) for r in rows if len(w := words(r["text"]))]
         ids, items = [i for i, _ in pairs], [w for _, w in pairs]
         held = spark.sparkContext.broadcast(_seeds(items) | {"ids": ids, "items": items})
         found = texts.mapInArrow(_matcher(held, threshold), "doc_id long, tag long, item_id long, score double, start_word long, end_word long")
@@ -145,6 +147,6 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block_it
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs, with all columns, without those that hold a test item. Rows with one id, or none, are told apart by their texts."""
-    hit = common.stash(_find(docs, benchmark, **options).select(F.col("doc_id").alias("hit_id"), F.col("tag").alias("hit_tag")).distinct(), "hits")
-    tagged = docs.withColumn("hit_key", common.text_tag())
-    return tagged.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("hit_key") == F.col("hit_tag")), "left_anti").select(*docs.columns)
+    hit = common.stash(_find(docs, benchmark, **options).select(*common.identity(F.col("doc_id"), F.col("tag"))).distinct(), "hits")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *common.identity(F.col("doc_id").cast("long"), common.text_tag()))
+    return rows.join(hit, ["no_id", "id", "tag"], "left_anti").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -1,9 +1,10 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts each hashed 1- to 3-gram per language inside the tasks, and Spark adds the counts up; what reaches
-the driver is one number for each language and bucket, however many documents there are. The log-probability matrix
-is broadcast (max_languages x buckets floats at most) and scores sparse batches: each batch of texts is one array of
-bucket numbers with row offsets, looked up in the matrix and summed by row.
+the driver is one number for each language and bucket, however many documents there are. The log priors and the
+log-probability matrix are broadcast (`cells` floats at most: with more languages there are fewer buckets) and score
+sparse batches: each batch of texts is one array of bucket numbers with row offsets, looked up in the matrix and summed
+by row.
 
 Edge cases: a null or empty text, or one without a letter, gives `und` and score 0; with nothing to learn from every
 text does. Rows with a null text or label teach nothing. Of languages with equal scores the first by name wins.
@@ -63,44 +64,46 @@ def _slices(codes: np.ndarray) -> Iterator[np.ndarray]:
         yield codes[at : at + SLICE + ORDERS - 1]
 
 
-def _counter(bits: int, max_languages: int):
+def _counter(bits: int, at_once: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, n in held.items():
-                at = np.flatnonzero(n)
+                at = np.flatnonzero(n)  # the last number counts documents
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "bucket", "n"])
             held.clear()
 
         for batch in batches:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-                if lang not in held and len(held) >= max_languages:
+                if lang not in held and len(held) >= at_once:
                     yield from flush()
-                n = held.setdefault(lang, np.zeros(1 << bits, dtype=np.int64))
+                n = held.setdefault(lang, np.zeros((1 << bits) + 1, dtype=np.int64))
+                n[-1] += 1
                 for piece in _slices(_codes(text)):
                     for grams in _buckets(piece, bits):
-                        n += np.bincount(grams, minlength=1 << bits)
+                        n[:-1] += np.bincount(grams, minlength=1 << bits)
         yield from flush()
 
     return count
 
 
-def fit(labelled: DataFrame, bits: int = 15, alpha: float = 0.5, max_languages: int = 256) -> dict:
-    """Learn from columns text and lang. Raises ValueError for more than max_languages labels, which bounds the model."""
+def fit(labelled: DataFrame, bits: int = 15, alpha: float = 0.5, cells: int = 1 << 23) -> dict:
+    """Learn class priors and n-gram probabilities from columns text and lang. The model has 2**bits buckets a label, and
+    fewer where there are so many labels that it would have more than `cells` numbers."""
     rows = labelled.select(F.col("text"), F.col("lang").cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    grams = rows.mapInArrow(_counter(bits, max_languages), "lang string, bucket int, n long")
-    counts = grams.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    found = counts.limit(max_languages * (1 << bits) + 1).toArrow()
-    langs = sorted(set(found.column("lang").to_pylist()))
-    if len(langs) > max_languages:
-        raise ValueError(f"{len(langs)} languages; at most {max_languages} are allowed")
+    langs = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").limit(cells >> 4).collect()]
+    bits = max(3, min(bits, (cells // max(1, len(langs))).bit_length() - 1))
+    if not langs:
+        return {"langs": [], "prior": np.zeros(0), "matrix": np.zeros((1 << bits, 0), np.float32), "bits": bits}
+    grams = rows.mapInArrow(_counter(bits, max(1, (1 << 23) >> bits)), "lang string, bucket int, n long")
+    found = grams.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     place = {x: i for i, x in enumerate(langs)}
-    table = np.zeros((1 << bits, len(langs)))
+    table = np.zeros(((1 << bits) + 1, len(langs)))
     table[found.column("bucket").to_numpy(), [place[x] for x in found.column("lang").to_pylist()]] = found.column("n").to_numpy()
-    if not langs:
-        return {"langs": [], "matrix": table.astype(np.float32), "bits": bits}
-    return {"langs": langs, "matrix": np.log((table + alpha) / (table.sum(0) + alpha * (1 << bits))).astype(np.float32), "bits": bits}
+    table, docs = table[:-1], table[-1]
+    matrix = np.log((table + alpha) / (table.sum(0) + alpha * (1 << bits))).astype(np.float32)
+    return {"langs": langs, "prior": np.log(docs / docs.sum()), "matrix": matrix, "bits": bits}
 
 
 def _scorer(held):
@@ -108,7 +111,7 @@ def _scorer(held):
         model = held.value
         langs, matrix, bits = model["langs"], model["matrix"], model["bits"]
         for batch in batches:
-            total = np.zeros((batch.num_rows, len(langs)))
+            total = np.tile(model["prior"], (batch.num_rows, 1))
             lettered = np.zeros(batch.num_rows, dtype=bool)
             rows: list[int] = []
             parts: list[np.ndarray] = []

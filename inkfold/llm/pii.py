@@ -5,13 +5,14 @@ part of one, those with a digit or an @; others are held to the label "none", wh
 pieces. Its potentials are of three kinds: a token's features, neighbouring tokens, and skip edges between each token
 and the next one in the document with the same key (the local part of an address, or the digits). Loopy message passing
 over a document's pieces and skip edges makes a number that is once written as a phone number a phone number wherever it
-stands; a run of tokens so labelled, and plausible as such, becomes a span. The potentials are trained piecewise on the
+stands. It runs on every document with such tokens, whether a pattern has found one there or not. A run of tokens so labelled, and plausible as such, becomes a span. The potentials are trained piecewise on the
 pattern spans of a bounded sample: at most `sample_docs` documents, chosen by a hash of their ids, and of each its first
 `sample_tokens` tokens. Tokens that share a key with a found one, but aren't found, don't count as "none" there.
 
 Edge cases: a null or empty text has no spans. A text's size doesn't matter: patterns run in linear time, and each token
 has two neighbours and two skip edges at most. Repeated rows each give a row; an empty table gives no rows; without
-pattern spans in the sample nothing is added. Spans of a kind never overlap; other columns are ignored.
+pattern spans in the sample nothing is added. Of labels with equal probability the first by kind counts, which isn't sure
+enough to add a span. Spans of a kind never overlap; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ _LOCAL_END = re.compile(r"[^A-Za-z0-9._%+-]")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_CANDIDATE = re.compile(r"[^\s]*[0-9@][^\s]*")
+_MARK, _SPACE = re.compile(r"[0-9@]"), re.compile(r"\s")
 _DIGITS = re.compile(r"[^0-9]+")
 
 
@@ -96,11 +97,22 @@ def _key(token: str) -> str:
     return digits if len(digits) >= 3 else ""
 
 
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of each run without spaces that has a digit or an @; in time linear in the text."""
+    end = 0
+    while m := _MARK.search(text, end):
+        start, space = m.start(), _SPACE.search(text, m.end())
+        while start > end and not text[start - 1].isspace():
+            start -= 1
+        end = space.start() if space else len(text)
+        yield start, end
+
+
 class Document:
     """A text's candidate tokens with their features, neighbours, skip edges and pattern labels (0: none)."""
 
     def __init__(self, text: str, found: list[Span]):
-        self.spans = [m.span() for m in _CANDIDATE.finditer(text)]
+        self.spans = list(candidates(text))
         tokens = [text[a:b] for a, b in self.spans]
         self.features = []
         for i, (a, b) in enumerate(self.spans):
@@ -168,7 +180,7 @@ def _plausible(kind: str, text: str) -> bool:
 def added(text: str, found: list[Span], model: dict, sure: float = 0.8) -> list[Span]:
     """Spans that the field adds to those of the patterns."""
     doc = Document(text, found)
-    if not doc.skip or not model["trained"]:
+    if not doc.spans or not model["trained"]:
         return []
     p = posteriors(doc, model)
     best = np.where((p.max(1) >= sure) & (doc.labels == 0), p.argmax(1), 0)
@@ -259,12 +271,12 @@ def _joined(spans: list[Span]) -> str:
 
 def _finder(held):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, maybe = held.value, re.compile(r"[0-9@]")
+        model = held.value
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
-                base = patterns(text) if maybe.search(text) else []
-                whole = base + added(text, base, model) if base else base  # labels spread from tokens that a pattern has found
+                base = patterns(text) if _MARK.search(text) else []
+                whole = base + added(text, base, model)
                 n = [sum(k == kind for k, _, _ in base) for kind in KINDS]
                 rows.append((*n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(whole)))
             columns = list(zip(*rows)) if rows else [[]] * 6

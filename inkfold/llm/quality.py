@@ -122,8 +122,12 @@ def assess(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that pass."""
-    # Written once: measured once, and the verdict isn't pushed down into the measures, whose expressions would multiply.
-    measured = common.stash(measure(docs, tuple(docs.columns)), "quality")
-    rows = measured.where(~base_failed() & (posterior(fit(measured)) >= 0.5))
-    return rows.select(*(F.col(f"in_{c}").alias(c) for c in docs.columns))
+    """The rows of docs, with all their columns, that pass. Texts are measured twice, for the estimates and for the verdict:
+    a table of measures would have to be joined to the texts again, or hold them."""
+    odds = fit(measure(docs, ()))
+    row = F.struct(*docs.columns).alias("row")
+    measured = measure(docs.select("text", row), ("row",))
+    # The measures go through an array of one, or the filter would repeat their expressions.
+    rows = measured.select("in_row", F.explode(F.array(F.struct(*(c for c in measured.columns if c != "in_row")))).alias("m")).select("in_row", "m.*")
+    rows = rows.where(~base_failed() & (posterior(odds) >= 0.5))
+    return rows.select(*(F.col("in_row").getField(c).alias(c) for c in docs.columns))

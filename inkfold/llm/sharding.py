@@ -4,7 +4,11 @@ A row's hash gives its position on a ring of 65,536 positions, and it belongs to
 shard takes more than its bound; rows that overflow a full shard go on clockwise to the next node with room. With the
 bounds that make the row counts at most one apart (law `rows`), every shard ends exactly full. What overflows where
 is settled on the row counts of the positions, which are as many at any input size; each row then finds its shard by
-its position and its rank there.
+its position and its rank there. Where a position holds over a thousandth of all rows, as with many equal rows, its rows
+are ranked within their input splits, so none is ranked in one task.
+
+With bounds this tight, one shard more moves rows between old shards too (README has the share): the price of counts at
+most one apart.
 
 Edge cases: a null text counts as none, so its size is 8. Null ids and repeated rows are placed like any others, equal
 rows in either order; an empty table gives no rows; other columns are ignored. Text length doesn't matter.
@@ -14,11 +18,14 @@ from __future__ import annotations
 
 import hashlib
 from collections import deque
+from itertools import groupby
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 POSITIONS = 1 << 16
+#: A position with more rows than this, and over a thousandth of all, is ranked in so many parts.
+LEAST_CROWD, SALTS = 4096, 64
 
 
 def ring(shards: int, replicas: int) -> list[tuple[int, int]]:
@@ -66,8 +73,25 @@ def assign(docs: DataFrame, shards: int = 24, replicas: int = 64) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     rows = rows.withColumn("hash", F.xxhash64("doc_id", "text_crc32")).withColumn("position", F.shiftrightunsigned("hash", 48).cast("int"))
+    rows = rows.withColumn("split", F.spark_partition_id())  # as steady as the input's splits
     counts = {r["position"]: r["n"] for r in rows.groupBy("position").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = docs.sparkSession.createDataFrame(place(counts, shards, replicas), "at int, first long, end long, shard int, base long")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("position").orderBy("hash", "doc_id", "size")).cast("long") - 1)
+    total = sum(counts.values())
+    crowded = [p for p, n in counts.items() if n * 1000 > total and n > LEAST_CROWD]  # a thousand positions at most
+    salt = F.when(F.col("position").isin(crowded), F.col("split") % SALTS).otherwise(F.lit(0)) if crowded else F.lit(0)
+    rows = rows.withColumn("salt", salt)
+    before = []
+    if crowded:
+        splits = rows.where(F.col("position").isin(crowded)).groupBy("position", "salt").agg(F.count(F.lit(1)).alias("n")).orderBy("position", "salt").collect()
+        for position, parts in groupby(splits, key=lambda r: r["position"]):
+            past = 0
+            for r in parts:
+                before.append((position, r["salt"], past))
+                past += r["n"]
+    spark = docs.sparkSession
+    plan = spark.createDataFrame(place(counts, shards, replicas), "at int, first long, end long, shard int, base long")
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("position", "salt").orderBy("hash", "doc_id", "size")).cast("long") - 1)
+    if before:
+        past = spark.createDataFrame(before, "position int, salt int, past long")
+        ranked = ranked.join(F.broadcast(past), ["position", "salt"], "left").withColumn("rank", F.col("rank") + F.coalesce("past", F.lit(0)))
     placed = ranked.join(F.broadcast(plan), (F.col("position") == F.col("at")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
     return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("rank") - F.col("first")).alias("slot"))

@@ -1,11 +1,11 @@
 """SimHash near-dedup by an inverted index over byte positions with count filtering.
 
 Two 64-bit fingerprints that differ in at most 4 bits agree in at least 4 of their 8 bytes. The index has a list for
-each value of three byte positions, out of twenty triples of which any four agreeing positions contain one; pairs in a
-list are tallied by the bytes they share, those under the guaranteed four are dropped, and the rest verified bit by
-bit. Lists longer than `crowd` are not paired: within one, two fingerprints are near exactly if some third value is
-within half the distance of both, so each is linked to the values around it, and rows grow with the list, not with its
-square. Equal fingerprints are one node throughout.
+each value of three byte positions, out of twenty triples of which any four agreeing positions contain one. Each pair is
+tallied once, by the byte positions it shares; those under the guaranteed minimum are dropped, and the rest verified bit
+by bit. Lists longer than `crowd` are not paired: within one, two fingerprints are within an even number of bits exactly
+if some third value is within half as many of both, so each is linked to the values around it, and rows grow with the
+list, not with its square. Equal fingerprints are one node throughout.
 
 Edge cases: a null, empty or blank text has the fingerprint zero, and one of fewer words than a shingle has that of
 the whole sequence. Long texts are hashed whole. Repeated rows each give a row; a null id is nobody's smallest. An
@@ -74,27 +74,32 @@ def _near_links(prints: DataFrame, bits: int, crowd: int) -> DataFrame:
     lists = prints.select("print", F.explode(keys).alias("key")).select("print", "key.triple", "key.value")
     crowded = common.stash(lists.groupBy("triple", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("triple", "value"), "crowded")
     calm = lists.join(crowded, ["triple", "value"], "left_anti")
-    pairs = calm.withColumnRenamed("print", "u").join(calm.withColumnRenamed("print", "v"), ["triple", "value"]).where("u < v")
+    # A pair meets in as many lists as it shares triples; it is tallied once, before anything is dealt.
+    met = calm.withColumnRenamed("print", "u").join(calm.withColumnRenamed("print", "v"), ["triple", "value"]).where("u < v")
+    pairs = met.groupBy("u", "v").agg(F.min("triple").alias("triple"))
     differ = F.col("u").bitwiseXOR(F.col("v"))
-    shared = sum(((differ.bitwiseAND(F.lit(_mask((p,)))) == 0).cast("int") for p in range(8)), F.lit(0))
-    links = pairs.where((shared >= 8 - bits) & (F.bit_count(differ) <= bits)).select("u", "v")
+    tally = sum((F.when(differ.bitwiseAND(F.lit(_mask((p,)))) == 0, 1).otherwise(0) for p in range(8)), F.lit(0))
+    links = pairs.where(tally >= 8 - bits).where(F.bit_count(differ) <= bits).select("u", "v")
     if crowded.isEmpty():
         return links
-    full = common.stash(lists.join(crowded, ["triple", "value"], "left_semi"), "full")
-    flips = [0, *(1 << b for b in range(64)), *((1 << a) | (1 << b) for a, b in combinations(range(64), 2))]
-    flips = [f - (1 << 64) if f >> 63 else f for f in flips]
-    masks = F.element_at(F.array(*(F.lit(_mask(t)) for t in covers)), F.col("triple") + 1)
-    around = prints.sparkSession.createDataFrame([(f,) for f in flips], "flip long")
-    # Flips outside the shared bytes; the table of flips has 2,081 rows at any size.
-    centres = full.join(F.broadcast(around), F.col("flip").bitwiseAND(masks) == 0).select("print", F.col("print").bitwiseXOR(F.col("flip")).alias("centre"))
+    full = common.stash(lists.join(crowded, ["triple", "value"], "left_semi").drop("value"), "full")
+    # Flips of up to half the bits, outside the bytes of the triple: 16,420 rows at most, whatever the input.
+    flips = [(i, f - (1 << 64) if f >> 63 else f) for i, t in enumerate(covers) for f in _flips(bits // 2) if not f & (_mask(t) % (1 << 64))]
+    around = prints.sparkSession.createDataFrame(flips, "triple int, flip long")
+    centres = full.join(F.broadcast(around), "triple").select("print", F.col("print").bitwiseXOR(F.col("flip")).alias("centre")).distinct()
     hubs = centres.groupBy("centre").agg(F.min("print").alias("v"), F.max("print").alias("last")).where("v < last")
-    return links.unionByName(centres.join(hubs, "centre").where("print != v").select(F.col("print").alias("u"), "v"))
+    return links.unionByName(centres.join(hubs, "centre").where("print != v").select(F.col("print").alias("u"), "v").distinct())
+
+
+def _flips(n: int) -> list[int]:
+    """All numbers of 64 bits with at most n ones."""
+    return [sum(1 << b for b in at) for k in range(n + 1) for at in combinations(range(64), k)]
 
 
 def _labelled(docs: DataFrame, bits: int = 4, crowd: int = 1024) -> DataFrame:
     """doc_id, tag (of the text) and print of each document, and (no_id, doc_id, tag) of the first of its component."""
-    if not 0 <= bits <= 4:
-        raise ValueError("the triples of byte positions guarantee at most 4 differing bits")
+    if bits not in (0, 2, 4):
+        raise ValueError("the triples of byte positions guarantee at most 4 differing bits, and long lists take an even number")
     texts = common.ids_and_texts(docs).withColumn("tag", common.text_tag())
     found = common.stash(texts.mapInArrow(_fingerprints, "doc_id long, tag long, print long"), "prints")
     nodes = found.groupBy("print").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("tag"))).alias("least"))
@@ -113,6 +118,7 @@ def near_duplicates(docs: DataFrame, bits: int = 4, crowd: int = 1024) -> DataFr
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """docs, with all columns: of each component one row stays, the one with the smallest id (a null one after all others).
     Rows with one id, or none, and unlike texts are of different components and stay."""
-    first = _labelled(docs, **options).select(F.col("first.doc_id").alias("first_id"), F.col("first.tag").alias("first_tag")).distinct()
-    tagged = docs.withColumn("first_key", common.text_tag()).dropDuplicates(["doc_id", "first_key"])
-    return tagged.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("first_key") == F.col("first_tag")), "left_semi").select(*docs.columns)
+    first = _labelled(docs, **options).select(*common.identity(F.col("first.doc_id"), F.col("first.tag"))).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *common.identity(F.col("doc_id").cast("long"), common.text_tag()))
+    kept = rows.join(first, ["no_id", "id", "tag"], "left_semi").dropDuplicates(["no_id", "id", "tag"])
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

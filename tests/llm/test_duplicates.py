@@ -164,8 +164,8 @@ def test_fingerprints_and_components(spark, sf):
         assert all(int(r["fingerprint"], 16) == prints[r["doc_id"]] for r in found)
 
 
-@pytest.mark.parametrize("crowd", [1, 8, 1000])
-def test_links_between_random_fingerprints(spark, crowd):
+@pytest.mark.parametrize(("crowd", "bits"), [(1, 4), (8, 2), (1, 2), (1000, 4)])
+def test_links_between_random_fingerprints(spark, crowd, bits):
     rng = random.Random(3)
     prints = []
     for _ in range(12):
@@ -176,9 +176,9 @@ def test_links_between_random_fingerprints(spark, crowd):
                 y ^= 1 << b
             prints.append(y)
     nodes = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in set(prints)], "print long")
-    label = {r["node"]: r["label"] for r in rows(components.labels(simhash._near_links(nodes, 4, crowd)))}
+    label = {r["node"]: r["label"] for r in rows(components.labels(simhash._near_links(nodes, bits, crowd)))}
     own = {i: p - (1 << 64) if p >> 63 else p for i, p in enumerate(sorted(set(prints), key=lambda p: p - (1 << 64) if p >> 63 else p))}
-    group = plain_components({i: p % (1 << 64) for i, p in own.items()}, 4)
+    group = plain_components({i: p % (1 << 64) for i, p in own.items()}, bits)
     assert {i: label.get(p, p) for i, p in own.items()} == {i: own[g] for i, g in group.items()}
 
 
@@ -227,6 +227,30 @@ def test_edited_copies_of_common_passages_are_found(spark):
     assert {(r["doc_id"], r["score"]) for r in found if r["doc_id"] in (0, 99)} == {(0, (2 * 21 - 3) / 48)}
 
 
+def plain_alignment(a: list, b: list) -> int:
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            table[i][j] = max(0, table[i - 1][j - 1] + (2 if x == y else -1), table[i - 1][j] - 1, table[i][j - 1] - 1)
+    return max(map(max, table))
+
+
+def test_all_pairs_align_as_found(spark):
+    rng = random.Random(13)
+    items = [(i, sentence(rng, rng.randrange(1, 16), 12)) for i in range(12)]
+    docs = [(i, sentence(rng, rng.randrange(60), 12)) for i in range(40)]
+    found = {(r["doc_id"], r["item_id"]): r["score"] for r in rows(decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), threshold=0.7))}
+    for d, text in docs:
+        for i, item in items:
+            a, b = item.split(), text.split()
+            score = plain_alignment(a, b) / (2 * len(a))
+            n = min(3, len(a))
+            shared = {tuple(a[k : k + n]) for k in range(len(a) - n + 1)} & {tuple(b[k : k + n]) for k in range(len(b) - n + 1)}
+            if (d, i) in found:
+                assert found[d, i] <= score + 1e-9
+            assert ((d, i) in found) == (score >= 0.7 and bool(shared)), (d, i, score)
+
+
 def test_alignment_scores():
     import numpy as np
 
@@ -239,6 +263,8 @@ def test_alignment_scores():
 def test_decontamination_at_the_edges(spark, edge_docs, no_docs):
     benchmark = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     assert {r["doc_id"] for r in rows(decontaminate.find(edge_docs, benchmark))} == {5}
+    short = spark.createDataFrame([(1, "Two, three"), (2, "three one"), (3, "mail")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["score"]) for r in rows(decontaminate.find(edge_docs, short))} == {(5, 1, 1.0), (6, 3, 1.0)}
     left = decontaminate.drop_contaminated(edge_docs, benchmark)
     assert left.columns == edge_docs.columns and left.count() == edge_docs.count() - 2
     assert decontaminate.find(edge_docs, benchmark.limit(0)).count() == 0 and decontaminate.find(no_docs, benchmark).count() == 0
@@ -324,6 +350,40 @@ def test_shards_are_level(spark, sf):
     assert {(r["doc_id"], r["shard"], r["slot"]) for r in rows(sharding.assign(docs.repartition(7)))} == {(r["doc_id"], r["shard"], r["slot"]) for r in placed}
 
 
+def test_equal_rows_are_ranked_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "LEAST_CROWD", 50)
+    docs = spark.createDataFrame([(None, "")] * 700 + [(i, f"text {i}") for i in range(500)], "doc_id long, text string").repartition(9)
+    slots = defaultdict(list)
+    for r in rows(sharding.assign(docs)):
+        slots[r["shard"]].append(r["slot"])
+    assert sum(map(len, slots.values())) == 1200 and all(sorted(x) == list(range(50)) for x in slots.values())
+
+
+def plain_walk(counts: dict[int, int], shards: int, replicas: int) -> list[int]:
+    """Rows of each shard, one row at a time round the ring: overflow first, then a node's own rows."""
+    nodes, total = sharding.ring(shards, replicas), sum(counts.values())
+    room = [total // shards + (s < total % shards) for s in range(shards)]
+    own = {k: [] for k in range(len(nodes))}
+    for p in sorted(counts):
+        own[next((k for k, (at, _) in enumerate(nodes) if at >= p), 0)] += [(p, r) for r in range(counts[p])]
+    waiting, home = [], {}
+    for turn in range(2):
+        for k, (_, shard) in enumerate(nodes):
+            waiting += own[k] if not turn else []
+            while waiting and room[shard]:
+                home[waiting.pop(0)] = shard
+                room[shard] -= 1
+    return home
+
+
+def test_places_are_those_of_a_walk_round_the_ring():
+    rng = random.Random(2)
+    counts = {rng.randrange(1 << 16): rng.randrange(1, 6) for _ in range(200)} | {77: 90}
+    for shards in (3, 24):
+        found = {(p, r): s for p, first, end, s, _ in sharding.place(counts, shards, 8) for r in range(first, end)}
+        assert found == plain_walk(counts, shards, 8)
+
+
 def test_most_rows_stay_on_their_nodes():
     counts = {p: 1 for p in range(0, 1 << 16, 16)}
     home = {}

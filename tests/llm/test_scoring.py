@@ -39,10 +39,23 @@ def test_languages_at_the_edges(edge_docs, no_docs):
     assert rows(language_id.identify(no_docs)) == []
 
 
-def test_too_many_languages_raise(spark):
-    docs = spark.createDataFrame([(f"text {i}", f"l{i}") for i in range(9)], "text string, lang string")
-    with pytest.raises(ValueError):
-        language_id.fit(docs, max_languages=8)
+def test_naive_bayes_is_that_of_plain_counts(spark):
+    learnt = [("the cat sat", "en"), ("the dog", "en"), ("le chat", "fr"), ("the end", "en")]
+    model, bits, alpha = language_id.fit(spark.createDataFrame(learnt, "text string, lang string"), bits=12), 12, 0.5
+    grams = lambda t: Counter(int(g) for piece in language_id._slices(language_id._codes(t)) for part in language_id._buckets(piece, bits) for g in part)
+    counts = {x: sum((grams(t) for t, y in learnt if y == x), Counter()) for x in ("en", "fr")}
+    for text in ("the chat", "le", "dog and cat"):
+        total = {x: math.log(sum(y == x for _, y in learnt) / 4) + sum(n * math.log((c[g] + alpha) / (sum(c.values()) + alpha * 4096)) for g, n in grams(text).items()) for x, c in counts.items()}
+        docs = spark.createDataFrame([(1, True, text)], "doc_id long, held_out boolean, text string")
+        (r,) = rows(language_id.predict(docs, model))
+        assert r["lang_pred"] == max(total, key=total.get)
+        assert r["score"] == pytest.approx(1 / sum(math.exp(v - max(total.values())) for v in total.values()), abs=1e-4)
+
+
+def test_more_labels_take_fewer_buckets(spark):
+    docs = spark.createDataFrame([(f"text number {i}" * 3, f"l{i}") for i in range(40)], "text string, lang string")
+    model = language_id.fit(docs, cells=40 << 8)
+    assert len(model["langs"]) == 40 and model["bits"] == 8 and model["matrix"].shape == (256, 40)
 
 
 def packed_texts(packed):
@@ -130,6 +143,45 @@ def test_skip_edges_label_repeated_tokens(spark):
     assert pii.added("no data here 17", [], model) == []
 
 
+def test_marginals_are_those_of_all_labellings(spark):
+    import itertools
+
+    rng = np.random.default_rng(5)
+    k = len(pii.KINDS) + 1
+    model = {"node": rng.normal(size=(pii.FEATURES, k)), "chain": rng.normal(size=(k, k)), "skip": rng.normal(size=(k, k)), "trained": True}
+    doc = pii.Document("call 5550102 5550103 or x; later 5550103 ok", [])
+    assert doc.chain == [(0, 1)] and doc.skip == [(1, 2)]  # no loop, so message passing is exact
+    weight = np.zeros((3, k))
+    for y in itertools.product(range(k), repeat=3):
+        score = sum(model["node"][f, y[i]] for i in range(3) for f in doc.features[i]) + model["chain"][y[0], y[1]] + model["skip"][y[1], y[2]]
+        for i in range(3):
+            weight[i, y[i]] += math.exp(score)
+    assert np.allclose(pii.posteriors(doc, model, rounds=60), weight / weight.sum(1, keepdims=True), atol=1e-6)
+
+
+def test_the_field_finds_numbers_that_patterns_miss(spark):
+    shapes = [(i, f"call +1555{1000000 + 31 * i} or again +1555{1000000 + 31 * i}, mail user{i}@site{i}.org soon, card {i} of 17, in 19{i % 90 + 10}") for i in range(300)]
+    model = pii.fit(spark.createDataFrame(shapes, "doc_id long, text string"))
+    caught = 0
+    for i in range(100):
+        number = f"1555{1000000 + 7919 * i}"
+        text = f"call +{number} today. Or 99 others. Again {number} please"
+        start = text.rindex(number)
+        caught += ("phone", start, start + len(number)) in pii.added(text, pii.patterns(text), model)
+    assert caught >= 90
+    assert pii.added("chapter 12 of 300, page 1999", [], model) == []
+
+
+def test_candidates_in_long_unspaced_texts():
+    import time
+
+    began = time.time()
+    text = "漢字" * 2_500_000
+    assert list(pii.candidates(text)) == [] and list(pii.candidates(text + "7" + text)) == [(0, 10_000_001)]
+    assert list(pii.candidates("a1 b\u3000c@d\n9")) == [(0, 2), (5, 8), (9, 10)]
+    assert time.time() - began < 20
+
+
 def test_personal_data_at_the_edges(edge_docs, no_docs):
     found = rows(pii.find(edge_docs))
     assert len(found) == edge_docs.count() and all(r["spans"] == "" for r in found if r["doc_id"] in (1, 2, 3, 4))
@@ -208,6 +260,26 @@ def test_quality_measures(spark, sf):
         assert not (r["base_failed"] and r["kept"])
 
 
+def test_verdicts_are_those_of_plain_expectation_maximisation(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    measured = quality.measure(docs)
+    votes = [tuple(r) for r in measured.select("in_doc_id", *(v.alias(k) for k, v in quality.rules().items())).collect()]
+    ids, votes = [v[0] for v in votes], np.array([v[1:] for v in votes])
+    good = np.where((votes == -1).any(1), 0.1, 0.9)
+    for _ in range(50):
+        up, down = good.sum() + 1, (1 - good).sum() + 1
+        total = np.full(len(votes), math.log(up / down))
+        for j in range(votes.shape[1]):
+            odds = {v: math.log((good[votes[:, j] == v].sum() + 1) / (up + 2) / (((1 - good)[votes[:, j] == v].sum() + 1) / (down + 2))) for v in (-1, 0, 1)}
+            odds[-1], odds[1] = min(odds[-1], 0), max(odds[1], 0)
+            total += np.array([odds[v] for v in votes[:, j]])
+        good = 1 / (1 + np.exp(-np.clip(total, -500, 500)))
+    plain, found = dict(zip(ids, good)), rows(quality.assess(docs))
+    assert all(r["quality"] == pytest.approx(plain[r["doc_id"]], abs=1e-6) for r in found)
+    assert all(r["kept"] == (not r["base_failed"] and r["quality"] >= 0.5) for r in found)
+    assert {r["doc_id"] for r in rows(quality.keep_good(docs))} == {r["doc_id"] for r in found if r["kept"]}
+
+
 def test_quality_at_the_edges(edge_docs, no_docs):
     found = rows(quality.assess(edge_docs))
     assert len(found) == edge_docs.count() and not any(r["kept"] for r in found)
