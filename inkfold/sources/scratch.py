@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written once as a table and read again: what is dear to compute is computed once, and survives lost executors.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset, as in tests, a temporary one is set.
+    The folder is the session's spark.checkpoint.dir. Where that is unset, a local session sets a temporary one; on a
+    cluster, whose machines don't share such a folder, ValueError is raised.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
         folder = tempfile.mkdtemp(prefix="inkfold-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/inkfold/{name}-{uuid.uuid4().hex}"
