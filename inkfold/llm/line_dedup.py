@@ -6,7 +6,7 @@ those places for each length that a shorter partner may have. Neighbouring lengt
 probes one or two partitions, seldom more. A segment's key is the gram in it with the least hash: places next to each
 other mostly have the same one, so a line has few keys whatever the threshold. What agrees in no key with another line
 is dropped on the keys alone; texts are fetched only for the lines left. Pairs whose letter counts allow few enough edits
-are verified by banded bit-parallel edit distance. Where a key is common to more than `crowd` lines, the lines that hold it are not paired: what is left of them,
+are verified by banded bit-parallel edit distance, without the ends at which they agree. Where a key is common to more than `crowd` lines, the lines that hold it are not paired: what is left of them,
 without the gram, must also lie within k edits, so the same join runs on the rests, `depth` times at most. So a phrase
 that a third of all lines share costs no pairs; lines that share `depth` grams, one in the rest of the other, are compared
 outright, however many they are.
@@ -216,17 +216,36 @@ def edits_within(a: Column, b: Column, k: int) -> Column:
     return F.aggregate(columns, start, step, lambda acc: acc["far"])
 
 
+def _cores(threshold: int, step: int = 8) -> Column:
+    """s_a and s_b without the steps of characters that are equal at both ends; over threshold characters are left of each."""
+    n = F.least(F.length("s_a"), F.length("s_b"))
+    equal = F.floor((n - threshold - 1) / step).cast("int")  # so many steps can be looked at, from both ends together
+    coded = F.struct(F.encode("s_a", "UTF-32").alias("a"), F.encode("s_b", "UTF-32").alias("b"))
+
+    def run(at) -> Column:
+        same = lambda j: F.when(at("a", j) != at("b", j), 1)
+        return F.when(equal < 1, F.lit(0)).otherwise(_once(F.array_position(F.transform(F.sequence(F.lit(1), F.greatest(equal, F.lit(1))), lambda j: F.coalesce(same(j), F.lit(0))), 1).cast("int"), lambda p: F.when(p == 0, equal).otherwise(p - 1)))
+
+    def cut(c: Column) -> Column:
+        before = run(lambda x, j: F.substring(c[x], (j - 1) * (4 * step) + 1, F.lit(4 * step)))
+        after = run(lambda x, j: F.substring(c[x], F.octet_length(c[x]) - j * (4 * step) + 1, F.lit(4 * step)))
+        core = lambda s, p, q: F.substring(s, step * p + 1, F.length(s) - step * (p + q))
+        return _once(before, lambda p: _once(F.least(after, equal - p), lambda q: F.struct(core(F.col("s_a"), p, q).alias("a"), core(F.col("s_b"), p, q).alias("b"))))
+
+    return _once(coded, cut)
+
+
 def _near(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """The pairs that are links, with both hashes of both lines: a, a2, b, b2."""
     side = lambda x: texts.select(F.col("line_id").alias(x), F.col("line_id2").alias(f"{x}2"), F.col("s").alias(f"s_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     allowed = F.least(F.lit(threshold), F.floor(F.least(F.length("s_a"), F.length("s_b")) / EDIT_CHARS))
     both = both.where(F.abs(F.length("s_a") - F.length("s_b")) <= allowed)
-    edits = _once(F.split("s_a", ""), lambda x: _once(F.split("s_b", ""), lambda y: edits_within(x, y, threshold)))
+    edits = _once(_cores(threshold), lambda c: _once(F.split(c["a"], ""), lambda x: _once(F.split(c["b"], ""), lambda y: edits_within(x, y, threshold))))
     return both.where(edits <= allowed).select("a", "a2", "b", "b2")
 
 
-def link(docs: DataFrame, threshold: int = 4, crowd: int = 32, depth: int = 3) -> DataFrame:
+def link(docs: DataFrame, threshold: int = 4, crowd: int = 4096, depth: int = 3) -> DataFrame:
     """A row for each line with a word: doc_id, line_no, tag; its class of equal lines (class_doc_id and class_line_no of
     the first, n_copies), n_links (other distinct lines within the edits allowed: threshold, and one for each EDIT_CHARS
     characters of the shorter line) and removed (an equal or linked line comes first)."""

@@ -86,7 +86,7 @@ def test_default_links_reach_four_edits_and_short_lines(spark):
     distinct = set(made)
     first = {x: made.index(x) for x in distinct}
     near = {x: [y for y in distinct if y != x and abs(len(x) - len(y)) <= 4 and edits(x, y) <= min(4, len(x) // 5, len(y) // 5)] for x in distinct}
-    for crowd in (64, 12):
+    for crowd in (4096, 12):
         found = {r["doc_id"]: (r["n_links"], r["removed"]) for r in rows(line_dedup.link(docs, crowd=crowd))}
         assert found == {d: (len(near[x]), d > first[x] or any(first[y] < first[x] for y in near[x])) for d, x in enumerate(made)}
 
@@ -113,7 +113,7 @@ def test_many_like_lines_and_periodic_ones(spark):
     distinct = set(made)
     near = {x: sum(y != x and abs(len(x) - len(y)) <= 4 and edits(x, y) <= min(4, len(x) // 5, len(y) // 5) for y in distinct) for x in distinct}
     docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
-    for crowd in (16,):
+    for crowd in (16, 4096):
         assert {r["doc_id"]: r["n_links"] for r in rows(line_dedup.link(docs, crowd=crowd))} == {d: near[x] for d, x in enumerate(made)}
 
 
