@@ -6,9 +6,11 @@ Packs of a caller's own are read with `load_packs`, as JSON documents of the sam
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -40,6 +42,7 @@ class Pack:
         return list(self.types or dict.fromkeys(r.type for r in self.rules))
 
 
+#: Parts of the patterns below.
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 H = r"[0-9a-fA-F]{1,4}"
 #: Countries whose tax numbers the VAT rule looks for.
@@ -124,16 +127,47 @@ def select(codes, packs: dict[str, Pack] = PACKS) -> list[Pack]:
     return [packs[c] for c in wanted if c in packs]
 
 
+#: The names of flags in pack documents, and what they are in a pattern.
+FLAGS = {"IGNORECASE": "iu", "I": "iu", "MULTILINE": "m", "M": "m", "DOTALL": "s", "S": "s", "UNICODE": "", "U": "", "VERBOSE": "x", "X": "x"}
+
+
+def flags(names: str | None) -> str:
+    """The inline flags that a pack document's `flags` name, separated by bars, commas or spaces; unknown names mean nothing."""
+    found = "".join(FLAGS.get(n.upper(), "") for n in re.split(r"[|, ]+", names or ""))
+    return f"(?{''.join(dict.fromkeys(found))})" if found else ""
+
+
+def _rule(d: dict) -> Rule:
+    """A rule of a document: in the form of `as_rows` (pattern), or with regex, flags, validator and description."""
+    if "regex" not in d:
+        return Rule(**d)
+    return Rule(d["type"], flags(d.get("flags")) + d["regex"], d.get("validator"), hint="")
+
+
 def load_packs(documents: list[str]) -> dict[str, Pack]:
-    """Packs from JSON documents: code and rules (type and pattern at least) are required, name defaults to the code."""
+    """Packs from JSON documents: code and rules, or patterns with regex and flags, are required; name defaults to the code."""
     out = {}
     for text in documents:
         d = json.loads(text)
-        code = d["code"].upper()
-        out[code] = Pack(code, d.get("name", code), tuple(Rule(**r) for r in d["rules"]), d.get("version", "1.0.0"))
+        code = str(d["code"]).strip().upper()
+        found = tuple(_rule(r) for r in d.get("rules", d.get("patterns") or ()))
+        out[code] = Pack(code, str(d.get("name", code)), found, str(d.get("version", "1.0.0")), tuple(d.get("entity_types") or ()))
     return out
 
 
+def usable(spark: SparkSession, packs: dict[str, Pack]) -> tuple[dict[str, Pack], dict[str, str]]:
+    """The packs whose patterns compile, and the error of each other one: a broken pack doesn't fail the others' jobs."""
+    good, bad = {}, {}
+    for code, pack in packs.items():
+        try:
+            for rule in pack.rules:
+                spark.range(1).select(F.lit("").rlike(rule.java)).collect()
+            good[code] = pack
+        except Exception as e:  # noqa: BLE001 - whatever the engine says of a pattern is its pack's error
+            bad[code] = str(e).splitlines()[0]
+    return good, bad
+
+
 def as_rows(spark: SparkSession, packs: dict[str, Pack] = PACKS) -> DataFrame:
     """A row for each pack: code, name, version, entity_types, definition (JSON)."""
     rows = [(p.code, p.name, p.version, p.entity_types(), json.dumps({"code": p.code, "name": p.name, "version": p.version, "rules": [vars(r) for r in p.rules]}, ensure_ascii=False)) for p in packs.values()]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import unicodedata
 
 import pandas as pd
@@ -61,8 +63,6 @@ def hmac_sha256(key: bytes, message: Column) -> Column:
 
     Literals derived from the key show in plans and event logs: give production keys through a secret-redacted session.
     """
-    import hashlib
-
     block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
     inner, outer = (bytearray(b ^ pad for b in block) for pad in (0x36, 0x5C))
     first = F.unhex(F.sha2(F.concat(F.lit(inner), message.cast("binary")), 256))
@@ -107,17 +107,51 @@ def judge_score(answer: Column) -> Column:
 
 
 def bearer_token(header: Column) -> Column:
-    """The token of an authorization header of two parts; null for any other header."""
-    found = F.regexp_extract(header, r"(?i)^\s*bearer\s+(\S+)\s*$", 1)
+    """What follows the first word of an authorization header, if that is "bearer"; null for any other header."""
+    found = F.regexp_extract(header, r"(?isU)^\s*bearer\s+(\S.*?)\s*\z", 1)
     return F.when(found != "", found)
 
 
+def decoded_key(text: str | None, *, production: bool = False, name: str = "key") -> bytes:
+    """A key of 32 bytes from base64. Without one a fixed, insecure key stands in, but never in production."""
+    if not text:
+        if production:
+            raise ValueError(f"{name} must be set in production")
+        return hashlib.sha256(f"insecure {name}".encode()).digest()
+    try:
+        raw = base64.b64decode(text, validate=True)
+    except ValueError as e:
+        raise ValueError(f"{name} must be base64") from e
+    if len(raw) != 32:
+        raise ValueError(f"{name} must have 32 bytes")
+    return raw
+
+
 def salvaged_json(answer: Column) -> Column:
     """A model's answer as VARIANT: without code fences, else its first {...} block; null if neither is JSON."""
     bare = F.regexp_replace(F.trim(answer), r"^```[A-Za-z]*\s*|\s*```$", "")
     return F.coalesce(F.try_parse_json(bare), F.try_parse_json(F.regexp_extract(answer, r"(?s)\{.*\}", 0)))
 
 
+def reported_entities(answer: Column) -> Column:
+    """What a model's answer names: array<struct<type, value>>, from a list or from an object's `entities` or `results`. Items
+    that aren't objects with a type (or entity_type) and a text are skipped; an answer that isn't JSON names nothing."""
+    listed = "array<variant>"
+    # An answer may be a list by itself, which has no {...} around it.
+    bare = F.try_parse_json(F.regexp_replace(F.trim(answer), r"^```[A-Za-z]*\s*|\s*```$", ""))
+    whole = F.coalesce(bare, salvaged_json(answer))
+    inside = lambda path: F.try_variant_get(whole, path, listed)
+    items = F.coalesce(F.try_variant_get(whole, "$", listed), F.when(F.size(inside("$.entities")) > 0, inside("$.entities")), inside("$.results"), F.array().cast(listed))
+
+    def string(item: Column, path: str) -> Column:
+        v = F.try_variant_get(item, path, "variant")
+        return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+    kind = lambda x: F.coalesce(F.nullif(string(x, "$.type"), F.lit("")), string(x, "$.entity_type"))
+    named = F.transform(items, lambda x: F.struct(kind(x).alias("type"), string(x, "$.text").alias("value")))
+    return F.filter(named, lambda x: x["type"].isNotNull() & (x["value"] != ""))
+
+
 def percent(share: Column) -> Column:
     """A share as per cent with one decimal; a dash for null."""
     return F.coalesce(F.concat(F.format_number(share * 100, 1), F.lit("%")), F.lit("–"))

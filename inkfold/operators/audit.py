@@ -64,11 +64,22 @@ def append(events: DataFrame, key: bytes, log: DataFrame | None = None) -> DataF
     return ordered.select(*events.columns, "head", "payload").mapInArrow(_chain(key), schema)
 
 
+#: Ids are serial numbers; so many of them in a row make a block.
+BLOCK = 1 << 16
+
+
 def verified(log: DataFrame, key: bytes) -> DataFrame:
-    """log with `intact`: whether an event's hash fits its fields and its previous hash is that of the event before it."""
-    before = F.lag("event_hash", 1, GENESIS).over(Window.partitionBy("team_id").orderBy("id"))
+    """log with `intact`: whether an event's hash fits its fields and its previous hash is that of the event before it. A
+    team's log is verified in blocks of ids, each of which gets the last hash of the block before: no task reads all of a
+    team's events, however many it has."""
+    rows = log.withColumn("_block", F.floor(F.col("id") / BLOCK))
+    last = rows.groupBy("team_id", "_block").agg(F.max_by("event_hash", "id").alias("_last"))
+    heads = last.select("team_id", "_block", F.lag("_last", 1, GENESIS).over(Window.partitionBy("team_id").orderBy("_block")).alias("_head"))
+    rows = rows.join(heads, ["team_id", "_block"])
+    before = F.coalesce(F.lag("event_hash", 1).over(Window.partitionBy("team_id", "_block").orderBy("id")), "_head")
     expected = hmac_sha256(key, F.concat(F.col("prev_hash"), payload()))
-    return log.withColumn("before", before).withColumn("intact", F.coalesce((F.col("prev_hash") == F.col("before")) & (F.col("event_hash") == expected), F.lit(False))).drop("before")
+    intact = F.coalesce((F.col("prev_hash") == before) & (F.col("event_hash") == expected), F.lit(False))
+    return rows.withColumn("intact", intact).select(*log.columns, "intact")
 
 
 def verify(log: DataFrame, key: bytes) -> DataFrame:
@@ -87,6 +98,19 @@ def blocked_event(requests: DataFrame) -> DataFrame:
     )
 
 
+def write_or_report(log: DataFrame, path: str) -> str | None:
+    """Append to the log's table as far as possible: once as it is, and if that fails once more without session ids. An
+    answer must not fail for its audit event, so the last error is given, not raised; None if the events are written."""
+    error = None
+    for rows in (log, log.withColumn("session_id", F.lit(None).cast("string"))):
+        try:
+            write(rows, path)
+            return None
+        except Exception as e:  # noqa: BLE001 - whatever hinders the sink is reported
+            error = str(e).splitlines()[0] if str(e) else type(e).__name__
+    return error
+
+
 def write(log: DataFrame, path: str) -> None:
     """Append to the log's table; there is no way to overwrite it."""
     log.write.mode("append").parquet(path)

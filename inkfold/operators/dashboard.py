@@ -27,14 +27,23 @@ def shares(counted: DataFrame, name: str, n: str) -> DataFrame:
     return counted.withColumns({"grand_total": F.sum(n).over(every), "scale": F.try_divide(F.col(n), F.max(n).over(every))}).orderBy(F.desc(n), name)
 
 
-def audit_page(log: DataFrame, limit: int = 50, offset: int = 0, team: str | None = None, *, provider: str | None = None, blocked: bool | None = None) -> DataFrame:
-    """A page of events, the newest first. provider and blocked are further filters."""
-    if not 1 <= limit <= 500 or offset < 0:
-        raise ValueError("limit must be 1 to 500 and offset 0 or more")
+def filtered(log: DataFrame, team: str | None = None, *, provider: str | None = None, blocked: bool | None = None) -> DataFrame:
     for column, wanted in (("team_id", team), ("provider", provider), ("blocked", blocked)):
         if wanted is not None:
             log = log.where(F.col(column) == wanted)
-    return log.orderBy(F.desc("id")).offset(offset).limit(limit)
+    return log
+
+
+def audit_page(log: DataFrame, limit: int = 50, offset: int = 0, team: str | None = None, **filters) -> DataFrame:
+    """A page of events, the newest first. provider and blocked are further filters."""
+    if not 1 <= limit <= 500 or offset < 0:
+        raise ValueError("limit must be 1 to 500 and offset 0 or more")
+    return filtered(log, team, **filters).orderBy(F.desc("id")).offset(offset).limit(limit)
+
+
+def audit_total(log: DataFrame, team: str | None = None, **filters) -> DataFrame:
+    """How many events the pages of the same filters hold: one row, total."""
+    return filtered(log, team, **filters).agg(F.count(F.lit(1)).alias("total"))
 
 
 def latest_runs(runs: DataFrame, limit: int = 20) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkfold.functions import checksums, rules
-from inkfold.functions.text import normalized
+from inkfold.functions.text import normalized, reported_entities
 
 SPAN = "struct<start:int,end:int,entity_type:string,text:string,score:double,source:string,jurisdiction:string>"
 SPANS = f"array<{SPAN}>"
@@ -31,14 +31,22 @@ def no_spans() -> Column:
     return F.array().cast(SPANS)
 
 
+#: Characters that mark matches; in a text itself they are taken for something else.
+ODD = f"[{OPEN}{CLOSE}]"
+
+
+def clean(text: Column) -> Column:
+    """text as rules see it: without the two characters that mark matches. Offsets stay."""
+    return F.when(text.rlike(ODD), F.translate(text, OPEN + CLOSE, "\x1a\x1a")).otherwise(text)
+
+
 def marked_matches(text: Column, pattern: str, value: bool = False) -> Column:
-    """(start, end, text) of each match (with value: of its second group), in code points.
+    """(start, end, text) of each match in a clean text (with value: of its second group), in code points.
 
     The matches are marked by two control characters, and the text is split at them: regular-expression offsets would
-    count UTF-16 units. Such characters in the text itself are replaced before, which moves nothing.
+    count UTF-16 units.
     """
-    clean = F.translate(text, OPEN + CLOSE, "\x1a\x1a")
-    marked = F.regexp_replace(clean, F.lit(pattern), F.lit(f"$1{OPEN}$2{CLOSE}" if value else f"{OPEN}$0{CLOSE}"))
+    marked = F.regexp_replace(text, F.lit(pattern), F.lit(f"$1{OPEN}$2{CLOSE}" if value else f"{OPEN}$0{CLOSE}"))
 
     def step(acc: Column, piece: Column) -> Column:
         match = F.substring_index(piece, CLOSE, 1)
@@ -46,14 +54,14 @@ def marked_matches(text: Column, pattern: str, value: bool = False) -> Column:
         return F.struct((acc["at"] + F.length(piece) - 1).alias("at"), F.concat(acc["found"], F.array(span)).alias("found"))
 
     def found(pieces: Column) -> Column:
-        begin = F.struct(F.length(F.get(pieces, F.lit(0))).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("found"))
-        return F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), begin, step, lambda acc: acc["found"])
+        none = F.array().cast("array<struct<start:int,end:int,text:string>>")
+        begin = F.struct(F.length(F.get(pieces, F.lit(0))).alias("at"), none.alias("found"))
+        return F.when(F.size(pieces) > 1, F.aggregate(F.slice(pieces, 2, F.size(pieces) - 1), begin, step, lambda acc: acc["found"])).otherwise(none)
 
     return once(F.split(marked, OPEN), found)
 
 
-def rule_spans(text: Column, rule: rules.Rule, jurisdiction: str) -> Column:
-    """The spans of one rule that pass its validator."""
+def _typed(text: Column, rule: rules.Rule, jurisdiction: str) -> Column:
     found = marked_matches(text, rule.java, rule.value)
     if rule.validator:
         found = F.filter(found, lambda m: checksums.check(rule.validator, m["text"]))
@@ -61,10 +69,26 @@ def rule_spans(text: Column, rule: rules.Rule, jurisdiction: str) -> Column:
     return F.when(text.rlike(rule.hint), typed).otherwise(no_spans())
 
 
+def _own_texts(spans: Column, text: Column) -> Column:
+    """spans with their texts as they stand in text."""
+    own = F.transform(spans, lambda s: s.withField("text", F.substr(text, s["start"] + 1, s["end"] - s["start"])))
+    return F.when(text.rlike(ODD), own).otherwise(spans)
+
+
+def rule_spans(text: Column, rule: rules.Rule, jurisdiction: str) -> Column:
+    """The spans of one rule that pass its validator."""
+    return _own_texts(once(clean(text), lambda t: _typed(t, rule, jurisdiction)), text)
+
+
 def all_rule_spans(text: Column, codes: Iterable[str] = rules.DEFAULT_PACKS, packs: dict[str, rules.Pack] = rules.PACKS) -> Column:
-    """The spans of all rules of the packs, one rule after another."""
-    found = [rule_spans(text, r, p.code) for p in rules.select(codes, packs) for r in p.rules]
-    return F.concat(*found) if found else no_spans()
+    """The spans of all rules of the packs, one rule after another. Texts without anything that any rule's hint asks for are
+    looked at once."""
+    chosen = [(r, p.code) for p in rules.select(codes, packs) for r in p.rules]
+    if not chosen:
+        return no_spans()
+    hints = list(dict.fromkeys(r.hint for r, _ in chosen))
+    found = once(clean(text), lambda t: F.concat(*(_typed(t, r, code) for r, code in chosen)))
+    return F.when(text.rlike("|".join(f"(?:{h})" for h in hints)), _own_texts(found, text)).otherwise(no_spans())
 
 
 def merge(spans: Column) -> Column:
@@ -114,19 +138,31 @@ def exploded(found: DataFrame, *ids: str) -> DataFrame:
 
 def anchored(text: Column, reported: Column, source: str = "llm", score: float = ANCHOR_SCORE) -> Column:
     """Spans of values that a detector reports without a place: array<struct<type, value>>, in order. Each takes its first
-    occurrence in text that overlaps none taken before; types become upper snake case; what isn't there is dropped."""
-    taken = "array<struct<start:int,end:int,entity_type:string,text:string,score:double,source:string,jurisdiction:string>>"
+    occurrence in text that overlaps none taken before; types become upper case with `_` for spaces; what isn't there is
+    dropped."""
+    from_ = lambda value, at: F.call_function("locate", value, text, at)
 
     def step(acc: Column, item: Column) -> Column:
-        kind = F.regexp_replace(F.upper(F.trim(item["type"])), r"[^A-Z0-9]+", "_")
-        n = F.length(item["value"])
-        # Occurrences by splitting at the value; those in a row that overlap each other are tried one by one.
-        places = F.filter(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda p: F.when(F.substr(text, p, n) == item["value"], p - 1)), lambda p: p.isNotNull() & ~F.exists(acc, lambda s: (s["start"] < p + n) & (p < s["end"])))
-        first = F.get(F.when((n > 0) & (F.length(text) >= n) & F.contains(text, item["value"]), places), F.lit(0))
-        span = F.struct(first.alias("start"), (first + n).alias("end"), kind.alias("entity_type"), item["value"].alias("text"), F.lit(score).alias("score"), F.lit(source).alias("source"), F.lit(None).cast("string").alias("jurisdiction"))
-        return F.when(first.isNotNull() & (kind != ""), F.concat(acc, F.array(span))).otherwise(acc)
-
-    return F.aggregate(reported, F.array().cast(taken), step)
+        kind, value = F.replace(F.upper(F.trim(item["type"])), F.lit(" "), F.lit("_")), item["value"]
+        n = F.length(value)
+        taken = lambda p: F.filter(acc, lambda s: (s["start"] < p - 1 + n) & (p - 1 < s["end"]))
+        # Each turn leaves the spans behind that stand in the way, so there is one turn more than spans at most.
+        on = lambda p, _: F.when(p > 0, once(taken(p), lambda hit: F.when(F.size(hit) > 0, from_(value, F.array_max(F.transform(hit, lambda s: s["end"])) + 1)).otherwise(p))).otherwise(p)
+        first = F.aggregate(F.sequence(F.lit(0), F.size(acc)), from_(value, F.lit(1)), on) - 1
+        span = lambda at: F.struct(at.alias("start"), (at + n).alias("end"), kind.alias("entity_type"), value.alias("text"), F.lit(score).alias("score"), F.lit(source).alias("source"), F.lit(None).cast("string").alias("jurisdiction"))
+        return F.when((n > 0) & (kind != ""), once(first, lambda at: F.when(at >= 0, F.concat(acc, F.array(span(at)))).otherwise(acc))).otherwise(acc)
+
+    return F.aggregate(reported, no_spans(), step)
+
+
+#: Fixed value: how much of a text a language model is asked about.
+ASKED_CHARS = 20_000
+
+
+def answered(text: Column, answer: Column) -> Column:
+    """Spans from a language model's answer about text, of which it saw the first ASKED_CHARS characters. An answer that is
+    missing or isn't what was asked for gives none."""
+    return F.coalesce(anchored(F.substr(text, F.lit(1), F.lit(ASKED_CHARS)), reported_entities(answer)), no_spans())
 
 
 #: What the entity recognizer's types are called here; others are dropped.

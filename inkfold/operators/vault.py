@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkfold.functions.text import PLACEHOLDER, find_placeholders, hmac_sha256, make_placeholder
-from inkfold.operators.spans import CLOSE, OPEN
+from inkfold.operators.spans import once
 
 KEY_INFO = b"session-data-key-v1"
 #: Suffixes of input texts from here on can't meet ours.
@@ -107,24 +107,29 @@ def tokenize(found: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def resolution_maps(tokens: DataFrame) -> DataFrame:
-    """(session_id, known): a session's placeholders and their values."""
+    """(session_id, known): a session's placeholders and their values, for streams, whose state holds them."""
     return tokens.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("placeholder", "value"))).alias("known"))
 
 
 def resolved(text: Column, known: Column) -> Column:
-    """text with the placeholders of known replaced by their values; others stay."""
-    pieces = F.split(F.regexp_replace(F.translate(text, OPEN + CLOSE, "\x1a\x1a"), F.lit(PLACEHOLDER), F.lit(f"{OPEN}$0{CLOSE}{OPEN}")), OPEN)
-    put = F.transform(pieces, lambda p: F.when(F.endswith(p, F.lit(CLOSE)), F.coalesce(F.element_at(known, F.substring_index(p, CLOSE, 1)), F.substring_index(p, CLOSE, 1))).otherwise(p))
+    """text with the placeholders of known replaced by their values; all else stays as it is."""
+    between, marks = F.split(text, PLACEHOLDER), F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(0))
+    put = once(marks, lambda m: F.transform(between, lambda x, i: F.concat(x, F.coalesce(F.element_at(known, F.get(m, i)), F.get(m, i), F.lit("")))))
     return F.when(F.contains(text, F.lit("[[")) & known.isNotNull(), F.array_join(put, "")).otherwise(text)
 
 
 def detokenize(texts: DataFrame, tokens: DataFrame, column: str = "sanitized") -> DataFrame:
-    """texts (session_id, column) with `restored`. Only sessions that hold placeholders meet the token map."""
-    pending = texts.where(F.size(find_placeholders(F.col(column))) > 0)
-    maps = resolution_maps(tokens.join(pending.select("session_id").distinct(), "session_id", "left_semi"))
-    put = pending.join(maps, "session_id", "left").withColumn("restored", resolved(F.col(column), F.col("known"))).drop("known")
-    rest = texts.where(F.coalesce(F.size(find_placeholders(F.col(column))), F.lit(0)) <= 0)
-    return put.unionByName(rest.withColumn("restored", F.col(column)))
+    """texts (session_id, column) with `restored`. Each text meets the tokens that it holds, by session and placeholder, and
+    no others, so nothing grows with a session."""
+    held = F.coalesce(F.array_distinct(find_placeholders(F.col(column))), F.array().cast("array<string>"))
+    # Texts of a session with one hash would share their tokens, which does no harm.
+    marked = texts.withColumns({"_held": held, "_hash": F.xxhash64(column)})
+    asked = marked.where(F.size("_held") > 0).select("session_id", "_hash", F.explode("_held").alias("placeholder")).distinct()
+    met = asked.join(tokens.select("session_id", "placeholder", "value"), ["session_id", "placeholder"])
+    known = met.groupBy("session_id", "_hash").agg(F.map_from_entries(F.collect_list(F.struct("placeholder", "value"))).alias("_known"))
+    put = marked.where(F.size("_held") > 0).join(known, ["session_id", "_hash"], "left").withColumn("restored", resolved(F.col(column), F.col("_known")))
+    rest = marked.where(F.size("_held") == 0).withColumn("restored", F.col(column))
+    return put.select(*texts.columns, "restored").unionByName(rest.select(*texts.columns, "restored"))
 
 
 def sessions(found: DataFrame, ttl_hours: int = 24) -> DataFrame:

@@ -46,9 +46,14 @@ for _pack in rules.PACKS.values():
         ORACLES[_name] = R.spans_sql(_rule, R.TEXTS)
 
 
+def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts, normalized, with their merged spans under the default packs, for one use."""
+    return spans.detect(R.texts(spark, sf_dir), CODES)
+
+
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All texts, normalized, with their merged spans under the default packs; detection runs once for all that follows."""
-    return stored(spans.detect(R.texts(spark, sf_dir), CODES), "found")
+    """The same for several uses: detection runs once for all of them."""
+    return stored(detected(spark, sf_dir).select(*IDS, "normalized", "spans"), "found")
 
 
 def found_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,22 +73,22 @@ def _spans(rows: DataFrame) -> DataFrame:
 
 @_query(f"{_MERGED} {_SPAN_SQL}")
 def merged_spans(spark, sf_dir):
-    return _spans(found(spark, sf_dir))
+    return _spans(detected(spark, sf_dir))
 
 
 @_query("WITH RECURSIVE " + R.merged_ctes(R.IDENTIFIERS, ["ircc", "US", "XX", "us", "EU"]) + " " + _SPAN_SQL)
 def merged_spans_chosen_packs(spark, sf_dir):
-    return _spans(stored(spans.detect(R.identifiers(spark, sf_dir), ["ircc", "US", "XX", "us", "EU"], normalize=False), "found"))
+    return _spans(spans.detect(R.identifiers(spark, sf_dir), ["ircc", "US", "XX", "us", "EU"], normalize=False))
 
 
 @_query(f"{_MERGED} SELECT session_id, text_idx, entity_type, count(*) AS n FROM merged GROUP BY ALL")
 def entity_counts_by_text(spark, sf_dir):
-    return found(spark, sf_dir).select(*IDS, F.explode(spans.counts(F.col("spans"))).alias("entity_type", "n"))
+    return detected(spark, sf_dir).select(*IDS, F.explode(spans.counts(F.col("spans"))).alias("entity_type", "n"))
 
 
 @_query(f"{_MERGED} SELECT entity_type, count(*) AS n FROM merged GROUP BY 1")
 def entity_totals(spark, sf_dir):
-    return found(spark, sf_dir).select(F.explode("spans.entity_type").alias("entity_type")).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
+    return detected(spark, sf_dir).select(F.explode("spans.entity_type").alias("entity_type")).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query("SELECT page_id, count(*) AS n FROM (" + R.spans_sql(rules.PACKS["GENERIC"].rules[1], "SELECT page_id, page_id AS session_id, page_id AS text_idx, html AS text FROM pages").replace("session_id, text_idx", "session_id AS page_id", 1) + ") x GROUP BY 1")
@@ -318,11 +323,3 @@ def accepted_requests(spark, sf_dir):
     ok, bad = tables.requests(rows)
     every = ok.select("event_id", "event_type", F.lit(200).alias("status")).unionByName(bad.select("event_id", "event_type", "status"))
     return every.select("event_id", text.resolve_model(F.col("event_type"), "base").alias("model"), "status")
-
-
-@_query()
-def normalized_texts(spark, sf_dir):
-    """Documents with evasions put in: full-width digits, a numero sign, zero-width and no-break characters."""
-    rows = R.texts(spark, sf_dir)
-    odd = F.concat(F.translate(F.col("text"), "0123456789", "０１２３４５６７８９"), F.lit(" №​ x"))
-    return rows.select(*IDS, F.md5(text.normalized(odd).cast("binary")).alias("normalized_md5"))

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkfold.functions import checksums, rules, text
+from inkfold.operators import spans
 
 
 def one(spark, column, **values):
@@ -80,7 +81,7 @@ def test_canonical_json(spark):
 
 
 def test_small_parsers(spark):
-    assert [one(spark, text.bearer_token(F.col("v")), v=v) for v in ("Bearer abc", "bearer  x", "Basic x", "Bearer", "Bearer a b")] == ["abc", "x", None, None, None]
+    assert [one(spark, text.bearer_token(F.col("v")), v=v) for v in ("Bearer abc", "bearer  x", "Basic x", "Bearer", "Bearer a b")] == ["abc", "x", None, None, "a b"]
     assert [one(spark, text.judge_score(F.col("v")), v=v) for v in ('{"score": 0.7}', 'so "score":3', "none", '"score": -1')] == [0.7, 1.0, None, 0.0]
     assert [one(spark, text.resolve_model(F.col("v"), "base"), v=v) for v in (" AUTO ", "", None, "own")] == ["base", "base", "base", "own"]
     assert [one(spark, text.valid_model_name(F.col("v")), v=v) for v in ("a.b-c_1", "../x", "", "a" * 65, None)] == [True, False, False, False, False]
@@ -93,3 +94,33 @@ def test_packs(spark):
     assert sum(len(p.rules) for p in rules.PACKS.values()) == 21
     again = rules.load_packs([r["definition"] for r in rules.as_rows(spark).collect()])
     assert again["UA"].rules == rules.PACKS["UA"].rules
+
+
+def test_keys_are_decoded():
+    import base64
+
+    raw = bytes(range(32))
+    assert text.decoded_key(base64.b64encode(raw).decode()) == raw and len(text.decoded_key("", name="a")) == 32
+    assert text.decoded_key(None, name="a") != text.decoded_key(None, name="b")
+    for bad in ("?", base64.b64encode(b"short").decode()):
+        with pytest.raises(ValueError):
+            text.decoded_key(bad)
+    with pytest.raises(ValueError):
+        text.decoded_key("", production=True)
+
+
+def test_entities_that_a_model_reports(spark):
+    said = [('[{"type":"a b","text":"x"},3,{"text":"y"}]', [("a b", "x")]), ('{"entities":[],"results":[{"entity_type":"p","text":"z"}]}', [("p", "z")]), ('ok {"entities":[{"type":"p","text":""},{"type":"q","text":"w"}]}', [("q", "w")]), ("no", []), ('"s"', []), (None, [])]
+    for v, expected in said:
+        found = spark.createDataFrame([(v,)], "v string").select(text.reported_entities(F.col("v")).alias("r")).first()["r"]
+        assert [tuple(x) for x in found] == expected, v
+
+
+def test_flags_and_documents_of_packs(spark):
+    assert [rules.flags(x) for x in (None, "IGNORECASE", "I|M", "dotall, UNICODE", "WHAT")] == ["", "(?iu)", "(?ium)", "(?s)", ""]
+    document = '{"code":" zz ","entity_types":["CODE"],"patterns":[{"type":"CODE","regex":"\\\\bzz-[0-9]+","flags":"I","validator":"none"}]}'
+    packs = rules.load_packs([document, '{"code":"bad","patterns":[{"type":"X","regex":"(open"}]}'])
+    good, bad = rules.usable(spark, packs)
+    assert list(good) == ["ZZ"] and list(bad) == ["BAD"] and good["ZZ"].entity_types() == ["CODE"]
+    df = spark.createDataFrame([("a ZZ-17 b",)], "t string").select(spans.all_rule_spans(F.col("t"), ["ZZ"], good).alias("s"))
+    assert [(x["start"], x["text"]) for x in df.first()["s"]] == [(2, "ZZ-17")]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from test_functions import CARD, GOOD, SIN
 
 from inkfold.functions import rules
-from inkfold.operators import audit, evaluation, payload, policy, providers, spans, vault
+from inkfold.operators import audit, evaluation, payload, policy, providers, sanitize, spans, vault
 from inkfold.sources import tables
 from inkfold.streaming import restore
 
@@ -82,6 +82,10 @@ def test_values_are_anchored_once_each(spark):
     df = spark.createDataFrame([("Ann met Ann and Bob", [("person", "Ann"), ("person", "Ann"), ("person", "Ann"), ("org name", "Bob"), ("x", "Zed"), ("x", "")])], "t string, r array<struct<type:string,value:string>>")
     got = df.select(spans.anchored(F.col("t"), F.col("r")).alias("s")).first()["s"]
     assert [(s["start"], s["entity_type"]) for s in got] == [(0, "PERSON"), (8, "PERSON"), (16, "ORG_NAME")]
+    df = spark.createDataFrame([("aaaaaaa", [("x", "aaa"), ("x-y", "aa"), ("x", "aaa"), ("z", "aa")])], "t string, r array<struct<type:string,value:string>>")
+    assert [(s["start"], s["end"], s["entity_type"]) for s in df.select(spans.anchored(F.col("t"), F.col("r")).alias("s")).first()["s"]] == [(0, 3, "X"), (3, 5, "X-Y"), (5, 7, "Z")]
+    said = spark.createDataFrame([("Ann and Bob", '[{"type":"person","text":"Bob"}]'), ("x", None), (None, "[]")], "t string, a string")
+    assert [[s["start"] for s in r["s"]] for r in said.select(spans.answered(F.col("t"), F.col("a")).alias("s")).collect()] == [[8], [], []]
 
 
 def found(spark, rows):
@@ -171,6 +175,51 @@ PAYLOAD = {
 }
 
 
+def test_restoring_changes_nothing_else(spark):
+    odd = "a\x01b x@q.co c\x02d [[EMAIL_00000a]] \x01q@r.co\x02"
+    rows = found(spark, [("s", 0, odd), ("s", 1, "plain"), (None, 2, "[[X_000001]]")])
+    assert [(s["text"], s["start"]) for s in rows.where("text_idx = 0").first()["spans"]] == [("x@q.co", 4), ("q@r.co", odd.index("q@r"))]
+    tokens = vault.token_map(rows, b"k")
+    told = vault.tokenize(rows, tokens)
+    back = {r["text_idx"]: (r["sanitized"], r["restored"]) for r in vault.detokenize(told, tokens).collect()}
+    assert "q.co" not in back[0][0] and back[0][1] == odd and back[1][1] == "plain" and back[2][1] == "[[X_000001]]"
+
+
+def test_requests_there_and_back(spark):
+    said = lambda *texts: json.dumps({"model": "m", "n": 1, "messages": [{"role": "user", "content": t} for t in texts]})
+    shapes = [("a", said("mail ann@b.co", "ann@b.co or 10.0.0.1"), None), ("b", said("ip 10.0.0.1"), "p1"), ("c", said("nothing"), "p1"), ("d", "{}", "p2"), ("e", "no json", None), ("f", said("x"), "p2"), ("g", said("a@b.co 10.0.0.9"), "p3")]
+    policies = spark.createDataFrame([("p1", "o", "n", "tokenize", None, ["IP_ADDRESS"], [], None, None), ("p2", "o", "n", "hard_block", None, [], [], None, None), ("p3", "o", "n", "tokenize", None, [], [], ["EMAIL"], None)], policy.POLICY)
+    done = sanitize.sanitize(spark.createDataFrame(shapes, "session_id string, payload string, policy_id string"), b"k", policies, honour_redact_types=True)
+    got = {r["session_id"]: r for r in done.requests.collect()}
+    assert {k: r["blocked"] for k, r in got.items()} == {"a": False, "b": True, "c": False, "d": False, "e": False, "f": True, "g": False}
+    assert got["a"]["entity_counts"] == {"EMAIL": 2, "IP_ADDRESS": 1} and got["b"]["offending"] == ["IP_ADDRESS"] and got["b"]["sanitized"] is None
+    assert got["e"]["sanitized"] == "no json" and "10.0.0.9" in got["g"]["sanitized"] and "a@b.co" not in got["g"]["sanitized"]
+    sent = json.loads(got["a"]["sanitized"])
+    mail = sent["messages"][0]["content"].split()[1]
+    assert sent["messages"][1]["content"].startswith(mail + " or [[IP_ADDRESS_") and sent["n"] == 1
+    answers = spark.createDataFrame([("a", json.dumps({"choices": [{"message": {"content": f"to {mail}!"}}]})), ("c", "no json"), ("g", '{"choices":[]}')], "session_id string, answer string")
+    back = {r["session_id"]: r["restored"] for r in sanitize.reinflate(answers, done.tokens).collect()}
+    assert json.loads(back["a"])["choices"][0]["message"]["content"] == "to ann@b.co!" and back["c"] == "no json" and back["g"] == '{"choices":[]}'
+    whole = f"to {mail} and [[EM"
+    deltas = [*(whole[i : i + 7] for i in range(0, len(whole), 7)), None]
+    chunks = [("a", i, json.dumps({"choices": [{"delta": {} if d is None else {"content": d}, "finish_reason": None}]})) for i, d in enumerate(deltas)]
+    lines = [r["line"] for r in sanitize.event_stream(spark.createDataFrame(chunks, "session_id string, seq long, chunk string"), done.tokens).orderBy("seq").collect()]
+    assert lines[-1] == tables.END_OF_EVENTS and len(lines) == len(chunks) + 2
+    assert "".join(json.loads(x[6:])["choices"][0]["delta"].get("content", "") for x in lines[:-1]) == "to ann@b.co and [[EM"
+
+
+def test_audit_in_blocks_and_sinks_that_fail(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(audit, "BLOCK", 3)
+    events = spark.createDataFrame([(i, f"t{i % 2}", "k", None, "/r", "p", {"A": i}, False, 1, 2, 3) for i in range(20)], "id long, team_id string, api_key_id string, session_id string, route string, provider string, entity_counts map<string,long>, blocked boolean, prompt_tokens int, completion_tokens int, latency_ms int")
+    log = audit.append(events, b"k").cache()
+    assert all(r["valid"] for r in audit.verify(log, b"k").collect())
+    broken = {r["id"] for r in audit.verified(log.where("id not in (6, 7)"), b"k").collect() if not r["intact"]}
+    assert broken == {8, 9}
+    assert audit.write_or_report(log, str(tmp_path / "log")) is None and spark.read.parquet(str(tmp_path / "log")).count() == 20
+    (tmp_path / "file").write_text("x")
+    assert audit.write_or_report(log, str(tmp_path / "file")) is not None
+
+
 def test_payload_walk_and_injection(spark):
     shapes = [("a", json.dumps(PAYLOAD)), ("b", '{"input":"only"}'), ("c", "{}"), ("d", "no json"), ("e", None)]
     df = spark.createDataFrame(shapes, "session_id string, payload string")
@@ -191,10 +240,21 @@ def test_provider_shapes(spark):
     assert body["system"] == "one" and body["max_tokens"] == 1024 and body["messages"][-1]["role"] == "user"
     body = json.loads(df.select(providers.request(F.col("p"), providers.lookup("gemini")).alias("b")).first()["b"])
     assert {"role": "user", "parts": [{"text": "two"}]} in body["contents"]
-    answers = {"openai": {"choices": [{"message": {"content": "hi"}, "finish_reason": "length"}]}, "bedrock": {"content": [{"text": "h"}, {"text": "i"}], "stop_reason": "max_tokens"}, "gemini": {"candidates": [{"content": {"parts": [{"text": "hi"}]}, "finishReason": "MAX_TOKENS"}]}}
+    answers = {"openai": {"choices": [{"message": {"content": "hi"}, "finish_reason": "length"}]}, "bedrock": {"content": [{"type": "text", "text": "h"}, {"type": "thinking", "text": "?"}, {"type": "text", "text": "i"}], "stop_reason": "max_tokens"}, "gemini": {"candidates": [{"content": {"parts": [{"text": "hi"}]}, "finishReason": "MAX_TOKENS"}]}, "ollama": {"message": {"content": "hi"}, "done": False}}
     for name, a in answers.items():
         r = spark.createDataFrame([(json.dumps(a),)], "a string").select(providers.answer(F.parse_json("a"), providers.lookup(name)).alias("r")).first()["r"]
         assert (r["content"], r["finish_reason"]) == ("hi", "length"), name
+    given = json.dumps({"model": "auto", "messages": [{"role": "user", "content": "é"}], "temperature": 0.5, "max_tokens": 7, "tools": [{"a": [1, None]}], "stream": True})
+    df = spark.createDataFrame([(given,)], "p string").select(F.parse_json("p").alias("p"))
+    asked = lambda name: json.loads(df.select(providers.request(F.col("p"), providers.lookup(name)).alias("b")).first()["b"])
+    assert asked("openai") == json.loads(given) | {"model": providers.lookup("openai").default_model, "stream": False}
+    assert asked("anthropic")["temperature"] == 0.5 and asked("anthropic")["max_tokens"] == 7
+    assert asked("gemini")["generationConfig"] == {"temperature": 0.5, "maxOutputTokens": 7}
+    assert asked("ollama")["options"] == {"temperature": 0.5}
+    bad = spark.createDataFrame([('{"model":"../x","messages":[]}',)], "p string").select(F.parse_json("p").alias("p"))
+    for name, status in (("bedrock", 400), ("gemini", 400), ("azure", 400), ("openai", None)):
+        r = bad.select(providers.refusal(F.col("p"), providers.lookup(name)).alias("e"), providers.request(F.col("p"), providers.lookup(name)).alias("b")).first()
+        assert (r["e"] and r["e"]["status"]) == status and (r["b"] is None) == (status is not None), name
     with pytest.raises(ValueError):
         providers.lookup("nobody")
     calls = providers.complete(spark.createDataFrame([("s", "x")], "session_id string, body string"), lambda bodies: [(200, b.upper()) for b in bodies]).first()
