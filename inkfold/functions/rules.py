@@ -58,13 +58,14 @@ PACKS = {
             (
                 Rule("EMAIL", r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", hint="@"),
                 Rule("CREDIT_CARD", r"\b\d(?:[ \-]?\d){12,18}\b", "luhn"),
-                Rule("PHONE", r"(?:\+?\d{1,3}[ .\-]?)?(?:\(\d{3}\)|\d{3})[ .\-]\d{3}[ .\-]\d{4}\b"),
-                Rule("IP_ADDRESS", rf"\b(?:{OCTET}\.){{3}}{OCTET}\b"),
+                Rule("PHONE", r"(?:\+?\d{1,3}[ .\-]?)?(?:\(\d{3}\)|\d{3})[ .\-]\d{3}[ .\-]\d{4}\b", hint=r"(?U)\d{3}[ .\-]\d{4}"),
+                Rule("IP_ADDRESS", rf"\b(?:{OCTET}\.){{3}}{OCTET}\b", hint=r"(?U)\d\.\d"),
                 Rule("IP_ADDRESS_V6", rf"(?:{H}:){{7}}{H}|(?:{H}:){{1,7}}:|(?:{H}:){{1,6}}:{H}|::(?:{H}:){{0,5}}{H}|::1", hint=":[0-9a-fA-F:]"),
-                Rule("IBAN", r"\b[A-Z]{2}\d{2}[ ]?(?:[A-Z0-9]{4}[ ]?){1,7}[A-Z0-9]{1,4}\b"),
+                Rule("IBAN", r"\b[A-Z]{2}\d{2}[ ]?(?:[A-Z0-9]{4}[ ]?){1,7}[A-Z0-9]{1,4}\b", hint=r"(?U)[A-Z]{2}\d{2}"),
                 Rule(
                     "DATE_OF_BIRTH",
                     r"(?:(?:born|dob|birth(?:date)?|date of birth|дата?\s+(?:народження|рождения)|ДН)\s*[:\-]?\s*)(?:\d{4}[-/]\d{2}[-/]\d{2}|\d{2}[-/.]\d{2}[-/.]\d{4})",
+                    hint=r"(?U)[-/.]\d{2}",
                 ),
             ),
         ),
@@ -73,9 +74,9 @@ PACKS = {
             "Canada",
             (
                 Rule("SIN", r"\b\d{3}[ -]?\d{3}[ -]?\d{3}\b", "sin_check"),
-                Rule("BUSINESS_NUMBER", r"\b\d{9}[ ]?R[CTPMZ][ ]?\d{4}\b"),
-                Rule("GST_HST", r"\b\d{9}[ ]?RT[ ]?\d{4}\b"),
-                Rule("NEQ", r"(\bNEQ[ :#]*)(\d{4}[ -]?\d{3}[ -]?\d{3})\b", value=True, ignore_case=True),
+                Rule("BUSINESS_NUMBER", r"\b\d{9}[ ]?R[CTPMZ][ ]?\d{4}\b", hint="R[CTPMZ]"),
+                Rule("GST_HST", r"\b\d{9}[ ]?RT[ ]?\d{4}\b", hint="RT"),
+                Rule("NEQ", r"(\bNEQ[ :#]*)(\d{4}[ -]?\d{3}[ -]?\d{3})\b", value=True, ignore_case=True, hint="(?iu)NEQ"),
             ),
         ),
         Pack(
@@ -83,15 +84,15 @@ PACKS = {
             "United States",
             (
                 Rule("ITIN", r"\b9\d{2}[ -]?\d{2}[ -]?\d{4}\b", "itin_check"),
-                Rule("SSN", r"\b\d{3}-\d{2}-\d{4}\b", "ssn_check"),
-                Rule("EIN", r"\b\d{2}-\d{7}\b", "ein_check"),
+                Rule("SSN", r"\b\d{3}-\d{2}-\d{4}\b", "ssn_check", hint=r"(?U)\d{3}-\d{2}-\d{4}"),
+                Rule("EIN", r"\b\d{2}-\d{7}\b", "ein_check", hint=r"(?U)\d{2}-\d{7}"),
             ),
         ),
         Pack(
             "EU",
             "European Union",
             (
-                Rule("IBAN", r"\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b", "iban_mod97"),
+                Rule("IBAN", r"\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b", "iban_mod97", hint=r"(?U)[A-Z]{2}\d{2}"),
                 Rule("VAT", rf"\b(?:{VAT_COUNTRIES})[ ]?[A-Z0-9]{{2,12}}\b", hint="[A-Z]{2}"),
             ),
         ),
@@ -99,16 +100,16 @@ PACKS = {
             "UA",
             "Ukraine",
             (
-                Rule("IBAN_UA", r"\bUA\d{2}[ ]?(?:[A-Z0-9]{4}[ ]?){5}[A-Z0-9]{5}\b", "iban_mod97"),
-                Rule("IPN", r"((?:ІПН|IPN|ИНН|РНОКПП|РНУКПН)[ :№#]*)(\d{10})\b", "ipn_check", value=True, ignore_case=True),
-                Rule("EDRPOU", r"((?:ЄДРПОУ|ЕДРПОУ|EDRPOU)[ :№#]*)(\d{8})\b", "edrpou_check", value=True, ignore_case=True),
+                Rule("IBAN_UA", r"\bUA\d{2}[ ]?(?:[A-Z0-9]{4}[ ]?){5}[A-Z0-9]{5}\b", "iban_mod97", hint=r"(?U)UA\d{2}"),
+                Rule("IPN", r"((?:ІПН|IPN|ИНН|РНОКПП|РНУКПН)[ :№#]*)(\d{10})\b", "ipn_check", value=True, ignore_case=True, hint="(?iu)ІПН|IPN|ИНН|РНОКПП|РНУКПН"),
+                Rule("EDRPOU", r"((?:ЄДРПОУ|ЕДРПОУ|EDRPOU)[ :№#]*)(\d{8})\b", "edrpou_check", value=True, ignore_case=True, hint="(?iu)ЄДРПОУ|ЕДРПОУ|EDRPOU"),
             ),
         ),
         Pack(
             "IRCC",
             "Immigration to Canada",
             (
-                Rule("UCI", r"((?:UCI|Client ID|Client Identifier)[ :#]*)(\d{4}[ -]?\d{4,6})\b", "uci_check", value=True, ignore_case=True),
+                Rule("UCI", r"((?:UCI|Client ID|Client Identifier)[ :#]*)(\d{4}[ -]?\d{4,6})\b", "uci_check", value=True, ignore_case=True, hint="(?iu)UCI|Client ID"),
                 Rule("APPLICATION_NUMBER", r"\b[EFVWX]\d{9,10}\b"),
             ),
         ),
