@@ -405,3 +405,51 @@ def test_pipeline_stages_keep_the_columns(spark, sf):
         assert docs.columns == before and 0 < docs.count() <= n, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_pipeline_is_its_stages_by_brute_force(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(31)
+    text = lambda: "\n".join(sentence(rng, rng.randrange(16, 26), 5000) + "." for _ in range(3))
+    made = [[i, text()] for i in range(24)]
+    made[5][1] = made[2][1]
+    made[7][1] = made[3][1].replace("w1", "v1", 1) + "\nnew words stand here, many of them, and more follow."
+    made[9][1] += "\n" + made[1][1].split("\n")[0]
+    item = sentence(rng, 20, 5000)
+    made[11][1] = made[11][1] + "\n" + " ".join(w if k != 7 else "other" for k, w in enumerate(item.split())) + "."
+    made += [[100, "# # $ $ %"], [101, None], [102, ""], [None, text()], [103, " ".join(["same words"] * 60)]]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in made], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    from inkfold.llm import quality
+
+    good = {r["doc_id"] for r in rows(quality.assess(docs)) if r["kept"]}
+    left = [(i, t) for i, t in made if i in good]
+    order = lambda i: (i is not None, i or 0)
+    every = [((order(i), k), x) for i, t in left for k, x in enumerate(t.split("\n")) if WORD.search(x)]
+    first = {}
+    for at, x in every:
+        first[x] = min(first.get(x, at), at)
+    near = lambda x, y: abs(len(x) - len(y)) <= 4 and edits(x, y) <= min(4, len(x) // 5, len(y) // 5)
+    gone = {at for at, x in every if at > first[x] or any(first[y] < first[x] and y != x and near(x, y) for y in first)}
+    left = [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if (order(i), k) not in gone)) for i, t in left]
+    left = [(i, t) for i, t in left if WORD.search(t)]
+    group = plain_components(dict(enumerate(plain_fingerprint(t) for _, t in left)), 4)
+    best = {}
+    for n, (i, _) in enumerate(left):
+        best[group[n]] = min(best.get(group[n], n), n, key=lambda m: (left[m][0] is None, left[m][0] or 0))
+    left = [left[n] for n in sorted(best.values())]
+    plain = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    left = [(i, t) for i, t in left if plain_alignment(plain(item), plain(t)) / (2 * len(plain(item))) < 0.5]
+    tokens = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    expected = sorted((order(i), len(tokens.encode(t, add_special_tokens=False).ids) + 1) for i, t in left)
+    found = {(order(r["doc_id"]), r["doc_tokens"]) for r in rows(corpus_pipeline.run(spark, str(tmp_path)))}
+    assert sorted(found) == expected and {5, 11, 100, 101, 102, 103}.isdisjoint({r[0][1] for r in found})
+
+
+def test_pipeline_without_documents(spark, tmp_path, no_docs):
+    no_docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
