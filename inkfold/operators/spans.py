@@ -69,10 +69,10 @@ def _typed(text: Column, rule: rules.Rule, jurisdiction: str) -> Column:
     return F.when(text.rlike(rule.hint), typed).otherwise(no_spans())
 
 
-def _own_texts(spans: Column, text: Column) -> Column:
-    """spans with their texts as they stand in text."""
-    own = F.transform(spans, lambda s: s.withField("text", F.substr(text, s["start"] + 1, s["end"] - s["start"])))
-    return F.when(text.rlike(ODD), own).otherwise(spans)
+def _own_texts(found: Column, text: Column) -> Column:
+    """Spans with their texts as they stand in text."""
+    own = lambda spans: F.transform(spans, lambda s: s.withField("text", F.substr(text, s["start"] + 1, s["end"] - s["start"])))
+    return once(found, lambda spans: F.when(text.rlike(ODD), own(spans)).otherwise(spans))
 
 
 def rule_spans(text: Column, rule: rules.Rule, jurisdiction: str) -> Column:
@@ -109,7 +109,7 @@ def merge(spans: Column) -> Column:
         )
 
     swept = F.aggregate(F.array_sort(keyed), begin, step, lambda acc: F.concat(acc["done"], F.when(acc["last"].isNotNull(), F.array(acc["last"]["span"])).otherwise(no_spans())))
-    return swept
+    return F.when(F.size(spans) < 2, spans).otherwise(swept)
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -127,8 +127,9 @@ def detect(texts: DataFrame, codes: Iterable[str] = rules.DEFAULT_PACKS, *, colu
     column `normalized` from other detectors, such as `anchored`; they come after the rules'."""
     out = texts.withColumn("normalized", normalized(F.col(column)) if normalize else F.col(column))
     found = F.concat(all_rule_spans(F.col("normalized"), codes, packs), *(F.coalesce(m, no_spans()) for m in more))
-    out = out.withColumn("spans", F.when(F.col("normalized").isNull() | (F.col("normalized") == ""), no_spans()).otherwise(found))
-    return out.withColumn("spans", merge(F.col("spans")))
+    found = F.when(F.col("normalized").isNull() | (F.col("normalized") == ""), no_spans()).otherwise(found)
+    # Through an array of one, or filters on the spans (those that exploding them implies) would detect again.
+    return out.withColumn("_found", F.explode(F.array(F.struct(once(found, merge).alias("spans"))))).withColumn("spans", F.col("_found.spans")).drop("_found")
 
 
 def exploded(found: DataFrame, *ids: str) -> DataFrame:
