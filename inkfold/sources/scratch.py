@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as a table and read again: what is dear to compute is computed once, and survives lost executors.
-
-    The folder is the session's spark.checkpoint.dir. Where that is unset, a local session sets a temporary one; on a
-    cluster, whose machines don't share such a folder, ValueError is raised.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. Where that is unset, a local session sets a temporary folder; on a cluster, whose
+    machines don't share such a folder, ValueError is raised."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
         folder = tempfile.mkdtemp(prefix="inkfold-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/inkfold/{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written once as a table in the shared folder and read again: what is dear to compute is computed once, and
+    survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/inkfold/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
