@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +49,18 @@ def spark_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is written inside hands Python so many rows at once: whole texts are large rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], share: int = 1000) -> DataFrame:
     """rows joined with groups (a row for each key; column n: how many rows have it). Keys that hold over one in `share`
     of the counted rows, so fewer than `share` of them at any size, are joined by broadcast: no task gets all rows of a

@@ -36,6 +36,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Impacts are below MOST; a byte counts steps of this size.
 MOST, STEP = 1_000_000, 3922
 BLOCK_DOCS, BLOCK_BYTES = 4096, 1 << 22
+#: So many texts are handed to a task at once.
+BATCH = 1024
 #: So much text is hashed at once.
 SLICE = 1 << 20
 #: Queries, and terms of theirs, that are sent to the blocks together; cells of a matrix of documents and terms.
@@ -158,7 +160,6 @@ def build(docs: DataFrame) -> DataFrame:
     """The index of docs (doc_id, text), as written: rows of terms (block, term, places, impacts, counts), and one row for
     each block without a term (ids, lengths and prints of its documents)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    n_docs, n_terms = _counted(rows)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -169,7 +170,9 @@ def build(docs: DataFrame) -> DataFrame:
                 yield _block(block, batch.column("doc_id")[a:b], data[at[a] : at[b]], at[a : b + 1] - at[a], n_docs, max(1, n_terms))
                 block += 1
 
-    return common.stash(rows.mapInArrow(index, INDEX), "index")
+    with common.batches_of(docs.sparkSession, BATCH):
+        n_docs, n_terms = _counted(rows)
+        return common.stash(rows.mapInArrow(index, INDEX), "index")
 
 
 def _bounds(asked: dict[int, list[tuple[int, int]]], n_queries: int, k: int):
