@@ -1,6 +1,7 @@
 """Jurisdiction packs: ordered lists of rules, each a pattern with an optional validator.
 
-Packs of a caller's own are read with `load_packs`, as JSON documents of the same form as `as_rows` gives.
+Packs of a caller's own are read with `load_packs`: JSON documents with patterns as Python writes them, in which a group
+named `value` is what is found, or of the form that `as_rows` gives.
 """
 
 from __future__ import annotations
@@ -12,10 +13,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkfold.functions.patterns import CLOSE, OPEN, translated
+
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern in Java's syntax. With `value`, its first group is a cue and its second the span."""
+    """A pattern in Java's syntax. With `value`, its first group is a cue and its second the span; `marked`, of a translated
+    pattern, is the replacement that marks the span."""
 
     type: str
     pattern: str
@@ -24,11 +28,19 @@ class Rule:
     ignore_case: bool = False
     #: A cheap pattern that every match's text holds.
     hint: str = r"(?U)\d"
+    marked: str | None = None
 
     @property
     def java(self) -> str:
+        if self.marked is not None:
+            return self.pattern
         return ("(?iuU)" if self.ignore_case else "(?U)") + self.pattern
 
+    @property
+    def replacement(self) -> str:
+        """What a match is replaced by to mark its span."""
+        return self.marked or (f"$1{OPEN}$2{CLOSE}" if self.value else f"{OPEN}$0{CLOSE}")
+
 
 @dataclass(frozen=True)
 class Pack:
@@ -37,6 +49,8 @@ class Pack:
     rules: tuple[Rule, ...]
     version: str = "1.0.0"
     types: tuple[str, ...] = field(default=())
+    #: Why a document's patterns can't be used.
+    error: str | None = None
 
     def entity_types(self) -> list[str]:
         return list(self.types or dict.fromkeys(r.type for r in self.rules))
@@ -128,47 +142,82 @@ def select(codes, packs: dict[str, Pack] = PACKS) -> list[Pack]:
     return [packs[c] for c in wanted if c in packs]
 
 
-#: The names of flags in pack documents, and what they are in a pattern.
-FLAGS = {"IGNORECASE": "iu", "I": "iu", "MULTILINE": "m", "M": "m", "DOTALL": "s", "S": "s", "UNICODE": "", "U": "", "VERBOSE": "x", "X": "x"}
+#: The names of flags in pack documents.
+FLAGS = {"IGNORECASE": re.I, "I": re.I, "MULTILINE": re.M, "M": re.M, "DOTALL": re.S, "S": re.S, "UNICODE": re.U, "U": re.U, "VERBOSE": re.X, "X": re.X}
 
 
-def flags(names: str | None) -> str:
-    """The inline flags that a pack document's `flags` name, separated by bars, commas or spaces; unknown names mean nothing."""
-    found = "".join(FLAGS.get(n.upper(), "") for n in re.split(r"[|, ]+", names or ""))
-    return f"(?{''.join(dict.fromkeys(found))})" if found else ""
+def flags(names: str | None) -> int:
+    """The flags that a pack document's `flags` name, separated by bars, commas or spaces; unknown names mean nothing."""
+    found = 0
+    for n in re.split(r"[|, ]+", names or ""):
+        found |= int(FLAGS.get(n.upper(), 0))
+    return found
 
 
 def _rule(d: dict) -> Rule:
     """A rule of a document: in the form of `as_rows` (pattern), or with regex, flags, validator and description."""
     if "regex" not in d:
         return Rule(**d)
-    return Rule(d["type"], flags(d.get("flags")) + d["regex"], d.get("validator"), hint="")
+    own = translated(str(d["regex"]), flags(d.get("flags")))
+    return Rule(str(d["type"]), own.pattern, d.get("validator"), hint=own.hint, marked=own.marked)
 
 
 def load_packs(documents: list[str]) -> dict[str, Pack]:
-    """Packs from JSON documents: code and rules, or patterns with regex and flags, are required; name defaults to the code."""
+    """Packs from JSON documents: code and rules, or patterns with regex and flags, are required; name defaults to the code. A
+    pack with a pattern that can't be read or translated has no rules, and says why in `error`."""
     out = {}
     for text in documents:
         d = json.loads(text)
         code = str(d["code"]).strip().upper()
-        found = tuple(_rule(r) for r in d.get("rules", d.get("patterns") or ()))
-        out[code] = Pack(code, str(d.get("name", code)), found, str(d.get("version", "1.0.0")), tuple(d.get("entity_types") or ()))
+        found, error = (), None
+        try:
+            found = tuple(_rule(r) for r in d.get("rules", d.get("patterns") or ()))
+        except (ValueError, re.error, RecursionError) as e:
+            error = f"{type(e).__name__}: {e}"
+        out[code] = Pack(code, str(d.get("name", code)), found, str(d.get("version", "1.0.0")), tuple(d.get("entity_types") or ()), error)
     return out
 
 
 def usable(spark: SparkSession, packs: dict[str, Pack]) -> tuple[dict[str, Pack], dict[str, str]]:
     """The packs whose patterns compile, and the error of each other one: a broken pack doesn't fail the others' jobs."""
-    good, bad = {}, {}
+    good, bad = {}, {code: p.error for code, p in packs.items() if p.error}
     for code, pack in packs.items():
+        if code in bad:
+            continue
         try:
-            for rule in pack.rules:
-                spark.range(1).select(F.lit("").rlike(rule.java)).collect()
+            tried = [F.lit("").rlike(x) for r in pack.rules for x in (r.java, r.hint)]
+            spark.range(1).select(F.array(*tried, F.lit(True))).collect()
             good[code] = pack
         except Exception as e:  # noqa: BLE001 - whatever the engine says of a pattern is its pack's error
             bad[code] = str(e).splitlines()[0]
     return good, bad
 
 
+def _first_group(pattern: str) -> int:
+    """Where the group ends that a pattern starts with."""
+    depth, i = 0, 0
+    while True:
+        depth += {"(": 1, ")": -1}.get(pattern[i], 0)
+        i += 2 if pattern[i] == "\\" else 1
+        if not depth:
+            return i
+
+
+def as_documents(packs: dict[str, Pack] = PACKS) -> list[str]:
+    """The built-in packs as documents that `load_packs` reads, with patterns as Python writes them."""
+
+    def pattern(r: Rule) -> str:
+        if not r.value:
+            return r.pattern
+        cue = _first_group(r.pattern)
+        return f"{r.pattern[1:cue - 1]}(?P<value>{r.pattern[cue + 1:]}"
+
+    def rule(r: Rule) -> dict:
+        return {"type": r.type, "regex": pattern(r), "validator": r.validator, "flags": "IGNORECASE" if r.ignore_case else None}
+
+    return [json.dumps({"code": p.code, "name": p.name, "version": p.version, "entity_types": p.entity_types(), "patterns": [rule(r) for r in p.rules]}, ensure_ascii=False) for p in packs.values()]
+
+
 def as_rows(spark: SparkSession, packs: dict[str, Pack] = PACKS) -> DataFrame:
     """A row for each pack: code, name, version, entity_types, definition (JSON)."""
     rows = [(p.code, p.name, p.version, p.entity_types(), json.dumps({"code": p.code, "name": p.name, "version": p.version, "rules": [vars(r) for r in p.rules]}, ensure_ascii=False)) for p in packs.values()]

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import hashlib
 import hmac
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkfold.functions.text import canonical_json, hmac_sha256, sorted_map
@@ -52,13 +53,15 @@ def last_hashes(log: DataFrame) -> DataFrame:
     return log.groupBy("team_id").agg(F.max_by("event_hash", "id").alias("head"))
 
 
-def append(events: DataFrame, key: bytes, log: DataFrame | None = None) -> DataFrame:
-    """events (id and the business fields) with prev_hash and event_hash, after what log holds. To be written in append mode."""
+def append(events: DataFrame, key: bytes, log: DataFrame | None = None, heads: DataFrame | None = None) -> DataFrame:
+    """events (id and the business fields) with prev_hash and event_hash, after what log holds, or after heads as `last_hashes`
+    gives them. To be written in append mode."""
     rows = events.withColumn("payload", payload())
-    if log is None:
+    heads = last_hashes(log) if log is not None and heads is None else heads
+    if heads is None:
         rows = rows.withColumn("head", F.lit(GENESIS))
     else:
-        rows = rows.join(last_hashes(log), "team_id", "left").withColumn("head", F.coalesce("head", F.lit(GENESIS)))
+        rows = rows.join(heads.select("team_id", "head"), "team_id", "left").withColumn("head", F.coalesce("head", F.lit(GENESIS)))
     ordered = rows.repartition("team_id").sortWithinPartitions("team_id", "id")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema) + ", prev_hash string, event_hash string"
     return ordered.select(*events.columns, "head", "payload").mapInArrow(_chain(key), schema)
@@ -98,19 +101,35 @@ def blocked_event(requests: DataFrame) -> DataFrame:
     )
 
 
-def write_or_report(log: DataFrame, path: str) -> str | None:
-    """Append to the log's table as far as possible: once as it is, and if that fails once more without session ids. An
-    answer must not fail for its audit event, so the last error is given, not raised; None if the events are written."""
-    error = None
-    for rows in (log, log.withColumn("session_id", F.lit(None).cast("string"))):
-        try:
-            write(rows, path)
+def unlinked(events: DataFrame) -> DataFrame:
+    """events without their session ids."""
+    return events.withColumn("session_id", F.lit(None).cast("string"))
+
+
+def written(spark: SparkSession, path: str) -> DataFrame | None:
+    """The log's table at path; None before anything is in it."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
-        except Exception as e:  # noqa: BLE001 - whatever hinders the sink is reported
-            error = str(e).splitlines()[0] if str(e) else type(e).__name__
-    return error
+        raise
 
 
 def write(log: DataFrame, path: str) -> None:
     """Append to the log's table; there is no way to overwrite it."""
     log.write.mode("append").parquet(path)
+
+
+def write_or_report(events: DataFrame, key: bytes, path: str, sink: Callable[[DataFrame, str], None] = write) -> str | None:
+    """Chain events to the log at path and write them as far as possible: once as they are, and if that fails once more without
+    session ids. Hashes cover those, so what is retried is chained anew. An answer must not fail for its audit event, so the
+    last error is given, not raised; None if the events are written."""
+    error = None
+    for rows in (events, unlinked(events)):
+        try:
+            sink(append(rows, key, written(events.sparkSession, path)), path)
+            return None
+        except Exception as e:  # noqa: BLE001 - whatever hinders the sink is reported
+            error = str(e).splitlines()[0] if str(e) else type(e).__name__
+    return error

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkfold.functions import checksums, rules
+from inkfold.functions.patterns import CLOSE, OPEN
 from inkfold.functions.text import normalized, reported_entities
 
 SPAN = "struct<start:int,end:int,entity_type:string,text:string,score:double,source:string,jurisdiction:string>"
@@ -19,7 +20,6 @@ SPANS = f"array<{SPAN}>"
 RULE_SCORE, ANCHOR_SCORE = 0.95, 0.6
 #: Which source wins between spans of equal score and length.
 SOURCE_RANK = {"manual": 4, "regex": 3, "llm": 2, "presidio": 1}
-OPEN, CLOSE = "\x01", "\x02"
 
 
 def once(value: Column, use) -> Column:
@@ -40,13 +40,13 @@ def clean(text: Column) -> Column:
     return F.when(text.rlike(ODD), F.translate(text, OPEN + CLOSE, "\x1a\x1a")).otherwise(text)
 
 
-def marked_matches(text: Column, pattern: str, value: bool = False) -> Column:
-    """(start, end, text) of each match in a clean text (with value: of its second group), in code points.
+def marked_matches(text: Column, pattern: str, replacement: str = f"{OPEN}$0{CLOSE}") -> Column:
+    """(start, end, text) of what the replacement marks of each match in a clean text, in code points.
 
     The matches are marked by two control characters, and the text is split at them: regular-expression offsets would
     count UTF-16 units.
     """
-    marked = F.regexp_replace(text, F.lit(pattern), F.lit(f"$1{OPEN}$2{CLOSE}" if value else f"{OPEN}$0{CLOSE}"))
+    marked = F.regexp_replace(text, F.lit(pattern), F.lit(replacement))
 
     def step(acc: Column, piece: Column) -> Column:
         match = F.substring_index(piece, CLOSE, 1)
@@ -62,7 +62,7 @@ def marked_matches(text: Column, pattern: str, value: bool = False) -> Column:
 
 
 def _typed(text: Column, rule: rules.Rule, jurisdiction: str) -> Column:
-    found = marked_matches(text, rule.java, rule.value)
+    found = marked_matches(text, rule.java, rule.replacement)
     if rule.validator:
         found = F.filter(found, lambda m: checksums.check(rule.validator, m["text"]))
     typed = F.transform(found, lambda m: F.struct(m["start"], m["end"], F.lit(rule.type).alias("entity_type"), m["text"], F.lit(RULE_SCORE).alias("score"), F.lit("regex").alias("source"), F.lit(jurisdiction).alias("jurisdiction")))

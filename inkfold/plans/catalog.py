@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,8 @@ from inkfold.functions import rules, text
 from inkfold.operators import audit, dashboard, evaluation, payload, policy, providers, spans, vault
 from inkfold.plans import relations as R
 from inkfold.sources import tables
-from inkfold.sources.scratch import stored
-from inkfold.streaming.restore import emitted
+from inkfold.sources.scratch import shared_folder, stored
+from inkfold.streaming.restore import emitted, run_restored
 
 KEY, MASTER = b"fingerprint-key-for-tests", bytes(range(32))
 CODES = rules.DEFAULT_PACKS
@@ -76,6 +77,15 @@ def merged_spans(spark, sf_dir):
     return _spans(detected(spark, sf_dir))
 
 
+@_query(f"{_MERGED} {_SPAN_SQL}")
+def merged_spans_from_documents(spark, sf_dir):
+    """The same spans by packs that were read from documents, with patterns as Python writes them."""
+    packs, broken = rules.usable(spark, rules.load_packs(rules.as_documents()))
+    if broken:
+        raise ValueError(broken)
+    return _spans(spans.detect(R.texts(spark, sf_dir), CODES, packs=packs))
+
+
 @_query("WITH RECURSIVE " + R.merged_ctes(R.IDENTIFIERS, ["ircc", "US", "XX", "us", "EU"]) + " " + _SPAN_SQL)
 def merged_spans_chosen_packs(spark, sf_dir):
     return _spans(spans.detect(R.identifiers(spark, sf_dir), ["ircc", "US", "XX", "us", "EU"], normalize=False))
@@ -154,6 +164,15 @@ def token_map(spark, sf_dir):
     return vault.token_map(found(spark, sf_dir), KEY)
 
 
+_ONE_SESSION = "WITH RECURSIVE " + R.merged_ctes(_NORMAL.format(f"SELECT 'all' AS session_id, text_idx, text FROM ({R.IDENTIFIERS}) i"), CODES)
+
+
+@_query(f"{_TOKENS.replace(_MERGED, _ONE_SESSION)} SELECT session_id, entity_type, value, placeholder, {_FINGERPRINT} AS value_fingerprint, occurrences FROM tokens")
+def token_map_one_session(spark, sf_dir):
+    """All texts are of one session."""
+    return vault.token_map(found_identifiers(spark, sf_dir).withColumn("session_id", F.lit("all")), KEY)
+
+
 @_query(f"{_TOKENS} SELECT session_id, entity_type, value, placeholder, {_FINGERPRINT} AS value_fingerprint, occurrences FROM tokens")
 def encrypted_round_trip(spark, sf_dir):
     closed = stored(vault.token_map(found(spark, sf_dir), KEY, master=MASTER), "tokens")
@@ -185,6 +204,24 @@ def streamed_round_trip(spark, sf_dir):
     return told.select(*IDS, F.md5(restored.cast("binary")).alias("restored_md5"))
 
 
+@_query(f"SELECT session_id, md5(string_agg(replace(text, '№', 'No'), '|' ORDER BY text_idx)) AS restored_md5 FROM ({R.IDENTIFIERS}) t GROUP BY 1")
+def streamed_sessions(spark, sf_dir):
+    """A real stream: each session's sanitized texts as numbered chunks, of which every other one comes micro-batches late."""
+    rows = found_identifiers(spark, sf_dir)
+    tokens = stored(vault.token_map(rows, KEY), "tokens")
+    told = vault.tokenize(rows, tokens).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("text_idx", "sanitized"))).alias("t"))
+    pieces = told.select("session_id", F.posexplode(tables.in_pieces(F.array_join("t.sanitized", "|"), 512)).alias("seq", "delta"), F.array_join("t.sanitized", "|").alias("whole"))
+    chunks = pieces.select("session_id", F.col("seq").cast("long").alias("seq"), "delta", ((F.col("seq") + 1) * 512 >= F.length("whole")).alias("is_end"))
+    feed = f"{shared_folder(spark)}/inkfold/chunks-{uuid.uuid4().hex}"
+    chunks = stored(chunks, "chunks")
+    for late in (1, 0, 2):  # a third each, in an order that isn't theirs
+        chunks.where(F.col("seq") % 3 == late).coalesce(1).write.mode("append").parquet(feed)
+    source = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(feed)
+    restored = run_restored(source, tokens, f"{shared_folder(spark)}/inkfold/restored-{uuid.uuid4().hex}")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "")
+    return restored.groupBy("session_id").agg(F.md5(text.cast("binary")).alias("restored_md5"))
+
+
 # The audit log.
 
 _JSON = """concat('{"api_key_id":"', api_key_id, '","blocked":', CASE WHEN blocked THEN 'true' ELSE 'false' END, ',"completion_tokens":null,"entity_counts":{"EMAIL":', CAST(k AS STRING), ',"SIN":', CAST(k % 3 AS STRING), '},"latency_ms":',
@@ -212,6 +249,24 @@ def audit_tampered(spark, sf_dir):
     return audit.verified(log, KEY).select("team_id", "id", "intact")
 
 
+def _refusing(log: DataFrame, path: str) -> None:
+    """A sink that takes no event that is linked to a session."""
+    if not log.where("session_id is not null").isEmpty():
+        raise OSError("no such session")
+    audit.write(log, path)
+
+
+@_query(f"{_CHAIN} SELECT team_id, id, prev_hash, event_hash FROM chain")
+def audit_unlinked(spark, sf_dir):
+    """Two writes of events with session ids, which the sink refuses: they are chained again without, over both writes."""
+    events = R.events(spark, sf_dir).withColumn("session_id", F.concat(F.lit("s"), "id"))
+    path, half = f"{shared_folder(spark)}/inkfold/audit-{uuid.uuid4().hex}", (events.agg(F.max("id")).first()[0] or 0) // 2
+    for part in (events.where(F.col("id") <= half), events.where(F.col("id") > half)):
+        if error := audit.write_or_report(part, KEY, path, _refusing):
+            raise OSError(error)
+    return audit.written(spark, path).select("team_id", "id", "prev_hash", "event_hash")
+
+
 # Dashboard.
 
 

@@ -361,8 +361,36 @@ def block_errors(spark, sf_dir):
     return rows.select("id", "e.message", "e.code")
 
 
-@_query(" UNION ALL ".join(f"SELECT '{p.code}' AS code, '{p.version}' AS version, {len(p.entity_types())}::BIGINT AS n_types, {len(p.rules)}::BIGINT AS n_rules" for p in rules.PACKS.values()))
+_PACK_ROWS = " UNION ALL ".join(f"SELECT '{p.code}' AS code, '{p.version}' AS version, {len(p.entity_types())}::BIGINT AS n_types, {len(p.rules)}::BIGINT AS n_rules" for p in rules.PACKS.values())
+
+
+@_query(f"WITH RECURSIVE {R.merged_ctes(R.IDENTIFIERS, list(rules.PACKS))} SELECT p.*, count(s.jurisdiction) AS n_spans FROM ({_PACK_ROWS}) p LEFT JOIN spans s ON s.jurisdiction = p.code GROUP BY ALL")
 def packs_table(spark, sf_dir):
+    """The stored packs, with how much each finds in the identifiers."""
     packs, _ = tables.sync_packs(spark, None)
     n_rules = F.size(F.try_variant_get(F.parse_json("definition"), "$.rules", "array<variant>"))
-    return packs.select("code", "version", F.size("entity_types").cast("long").alias("n_types"), n_rules.cast("long").alias("n_rules"))
+    found = R.identifiers(spark, sf_dir).select(F.inline(spans.all_rule_spans(F.col("text"), list(rules.PACKS)))).groupBy("jurisdiction").agg(F.count(F.lit(1)).alias("n_spans"))
+    rows = packs.select("code", "version", F.size("entity_types").cast("long").alias("n_types"), n_rules.cast("long").alias("n_rules"))
+    return rows.join(found.withColumnRenamed("jurisdiction", "code"), "code", "left").withColumn("n_spans", F.coalesce("n_spans", F.lit(0)))
+
+
+#: A pack of a user's own: values before, between and after other characters, and one without a value.
+_OWN_PACK = """{"code":"own","name":"Own","version":"2.1","entity_types":["REFERENCE","FILE","SECOND_PHONE","NETWORK"],"patterns":[
+{"type":"REFERENCE","regex":"^ref\\\\s(?P<value>\\\\d{9}), SIN\\\\b","flags":"I|M"},
+{"type":"FILE","regex":"(?<=, )file (?P<value>W\\\\d+),","validator":"none"},
+{"type":"SECOND_PHONE","regex":"(?:tel|or) (?P<value>\\\\d{3}(?:[.]\\\\d+){2})(?!\\\\d)"},
+{"type":"NETWORK","regex":"fe80:(?:\\\\d|:)+"}]}"""
+
+
+@_query(f"""SELECT session_id, text_idx, u.entity_type, u.span_start, u.span_start + length(u.value) AS span_end, u.value FROM (SELECT session_id, text_idx, unnest([
+{{'entity_type': 'REFERENCE', 'span_start': 4, 'value': substr(text, 5, 9)}},
+{{'entity_type': 'FILE', 'span_start': strpos(text, ', file W') + 6, 'value': substr(text, strpos(text, ', file W') + 7, 10)}},
+{{'entity_type': 'SECOND_PHONE', 'span_start': strpos(text, ' or ') + 3, 'value': substr(text, strpos(text, ' or ') + 4, 12)}},
+{{'entity_type': 'NETWORK', 'span_start': strpos(text, 'fe80:') - 1, 'value': substr(text, strpos(text, 'fe80:'), 15)}}]) AS u FROM ({R.IDENTIFIERS}) t) x""")
+def own_pack_spans(spark, sf_dir):
+    """A pack of one's own from a document, over all identifiers."""
+    packs, broken = rules.usable(spark, rules.load_packs([_OWN_PACK]))
+    if broken:
+        raise ValueError(broken)
+    rows = R.identifiers(spark, sf_dir).select(*IDS, F.inline(spans.all_rule_spans(F.col("text"), ["OWN"], packs)))
+    return rows.select(*IDS, "entity_type", F.col("start").cast("long").alias("span_start"), F.col("end").cast("long").alias("span_end"), F.col("text").alias("value"))

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import hashlib
 import hmac
 import json
@@ -117,7 +119,7 @@ def test_entities_that_a_model_reports(spark):
 
 
 def test_flags_and_documents_of_packs(spark):
-    assert [rules.flags(x) for x in (None, "IGNORECASE", "I|M", "dotall, UNICODE", "WHAT")] == ["", "(?iu)", "(?ium)", "(?s)", ""]
+    assert [rules.flags(x) for x in (None, "IGNORECASE", "I|M", "dotall, UNICODE", "WHAT")] == [0, re.I, re.I | re.M, re.S | re.U, 0]
     document = '{"code":" zz ","entity_types":["CODE"],"patterns":[{"type":"CODE","regex":"\\\\bzz-[0-9]+","flags":"I","validator":"none"}]}'
     packs = rules.load_packs([document, '{"code":"bad","patterns":[{"type":"X","regex":"(open"}]}'])
     good, bad = rules.usable(spark, packs)

@@ -2,7 +2,6 @@ from __future__ import annotations
 
 import json
 import random
-import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -215,9 +214,30 @@ def test_audit_in_blocks_and_sinks_that_fail(spark, tmp_path, monkeypatch):
     assert all(r["valid"] for r in audit.verify(log, b"k").collect())
     broken = {r["id"] for r in audit.verified(log.where("id not in (6, 7)"), b"k").collect() if not r["intact"]}
     assert broken == {8, 9}
-    assert audit.write_or_report(log, str(tmp_path / "log")) is None and spark.read.parquet(str(tmp_path / "log")).count() == 20
     (tmp_path / "file").write_text("x")
-    assert audit.write_or_report(log, str(tmp_path / "file")) is not None
+    assert audit.write_or_report(events, b"k", str(tmp_path / "file")) is not None
+
+
+def refusing_links(log, path):
+    """A sink that takes no event of a session."""
+    if not log.where("session_id is not null").isEmpty():
+        raise OSError("no such session")
+    audit.write(log, path)
+
+
+def test_a_log_verifies_after_its_sink_refused_the_sessions(spark, tmp_path):
+    path = str(tmp_path / "log")
+    events = spark.createDataFrame([(i, f"t{i % 2}", "k", f"s{i}", "/r", "p", {"A": i}, False, 1, 2, 3) for i in range(10)], "id long, team_id string, api_key_id string, session_id string, route string, provider string, entity_counts map<string,long>, blocked boolean, prompt_tokens int, completion_tokens int, latency_ms int")
+    assert audit.write_or_report(events.where("id < 6"), b"k", path) is None
+    assert audit.write_or_report(events.where("id >= 6"), b"k", path, refusing_links) is None
+    log = spark.read.parquet(path)
+    assert sorted((r["team_id"], r["n_events"], r["n_broken"], r["valid"]) for r in audit.verify(log, b"k").collect()) == [("t0", 5, 0, True), ("t1", 5, 0, True)]
+    assert {r["id"] for r in log.where("session_id is null").collect()} == {6, 7, 8, 9}
+
+    def refusing(log, path):
+        raise OSError("full\nof rows")
+
+    assert audit.write_or_report(events, b"k", path, refusing) == "full" and spark.read.parquet(path).count() == 10
 
 
 def test_payload_walk_and_injection(spark):
@@ -273,6 +293,29 @@ def test_sources(spark, tmp_path):
     assert spark.range(1).select(tables.in_pieces(F.lit("abcdefg"), 3).alias("p")).first()["p"] == ["abc", "def", "g"]
 
 
+def test_deployments_are_named_in_the_address(spark):
+    own = providers.azure("https://x.example/", "base", "2024-06-01")
+    payloads = spark.createDataFrame([('{"model":"auto","messages":[]}',), ('{"model":"mine","n":1}',)], "p string").select(F.parse_json("p").alias("p"))
+    got = payloads.select(providers.address(F.col("p"), own).alias("a"), providers.request(F.col("p"), own).alias("r"), providers.refusal(F.col("p"), own).alias("no")).collect()
+    assert [r["a"] for r in got] == [f"https://x.example/openai/deployments/{d}/chat/completions?api-version=2024-06-01" for d in ("base", "mine")]
+    assert [json.loads(r["r"]) for r in got] == [{"messages": [], "stream": False}, {"n": 1, "stream": False}] and all(r["no"] is None for r in got)
+    assert payloads.select(providers.request(F.col("p"), providers.lookup("azure")).alias("r")).first()["r"] is None
+    assert payloads.select(providers.address(F.col("p"), providers.lookup("openai")).alias("a")).first()["a"] is None
+
+
+def test_one_session_is_numbered_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(vault, "BLOCK", 2)
+    texts = [("all", i, f"mail u{i % 17}@b.co and u{(i * 7) % 23}@b.co") for i in range(40)] + [(None, 0, "x@b.co"), (None, 3, "y@b.co"), ("two", 1, "z@b.co")]
+    found = spans.detect(spark.createDataFrame(texts, "session_id string, text_idx long, text string"))
+    rows = vault.token_map(found, b"k").withColumn("task", F.spark_partition_id()).collect()
+    seen = {}
+    for session, _, text in texts:
+        for word in text.replace("mail ", "").split(" and "):
+            seen.setdefault(session, []).append(word) if word not in seen.get(session, []) else None
+    assert {(r["session_id"], r["value"]): r["placeholder"] for r in rows} == {(s, w): f"[[EMAIL_{n:06x}]]" for s, words in seen.items() for n, w in enumerate(words, 1)}
+    assert len({r["task"] for r in rows if r["session_id"] == "all"}) > 1
+
+
 WHOLE = "to [[EMAIL_000001]], [[IP_000002]] and [[EMAIL_zz [[X_12]] or [[ [[EMAIL_000001]"
 KNOWN = [("s", "[[EMAIL_000001]]", "a@b.co"), ("s", "[[IP_000002]]", "10.0.0.1")]
 
@@ -289,18 +332,3 @@ def test_chunks_of_any_size_give_the_same_text(spark, size):
         ready, buffer = restore.split_buffer(buffer + p)
         out.append(restore.put_back(ready, dict(x[1:] for x in KNOWN)))
     assert "".join(out) + buffer == expected
-
-
-def test_stream_over_several_micro_batches(spark, tmp_path):
-    tokens = spark.createDataFrame(KNOWN, "session_id string, placeholder string, value string")
-    source, schema = tmp_path / "in", "session_id string, seq long, delta string, is_end boolean"
-    pieces = [WHOLE[i : i + 6] for i in range(0, len(WHOLE), 6)]
-    for k in range(0, len(pieces), 5):
-        part = [("s", i, pieces[i], i == len(pieces) - 1) for i in range(k, min(k + 5, len(pieces)))]
-        spark.createDataFrame(part[::-1], schema).coalesce(1).write.mode("append").json(str(source))
-        time.sleep(0.05)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(source))
-    query = restore.restore(stream, tokens).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    got = "".join(r["text"] for r in spark.read.parquet(str(tmp_path / "out")).orderBy("seq").collect())
-    assert got == WHOLE.replace("[[EMAIL_000001]]", "a@b.co").replace("[[IP_000002]]", "10.0.0.1")
