@@ -48,7 +48,12 @@ class _Writer:
     def sequence(self, items, flags: int) -> str:
         items, out = list(items), []
         for i, (op, av) in enumerate(items):
-            if str(av) == "AT_BOUNDARY" and (_wordy(items[i + 1 : i + 2], 0, flags) or _wordy(items[max(0, i - 1) : i], -1, flags)):
+            if str(op) in REPEATS and _single(av[2]):
+                kind = REPEATS[str(op)]
+                if str(op) == "MAX_REPEAT" and int(av[1]) != av[0] and _apart(av[2][0], items[i + 1 : i + 2], flags):
+                    kind = "+"  # what follows can't be one of the repeated, so nothing is gained by giving back
+                out.append(self.item(str(av[2][0][0]), av[2][0][1], flags) + _times(av[0], int(av[1])) + kind)
+            elif str(av) == "AT_BOUNDARY" and (_wordy(items[i + 1 : i + 2], 0, flags) or _wordy(items[max(0, i - 1) : i], -1, flags)):
                 # One side is known to be a word's, so only the other one is looked at.
                 word = f"[{_category('CATEGORY_WORD', flags)[0]}]"
                 out.append(f"(?<!{word})" if _wordy(items[i + 1 : i + 2], 0, flags) else f"(?!{word})")
@@ -72,9 +77,7 @@ class _Writer:
 
             return f"(?:{written()})" if number is None else self.group(written)[1]
         if op in REPEATS:
-            low, high, inside = av
-            times = {(0, MANY): "*", (1, MANY): "+", (0, 1): "?"}.get((low, int(high)), f"{{{low}}}" if low == high else f"{{{low},{'' if int(high) == MANY else high}}}")
-            return f"(?:{self.sequence(inside, flags)}){times}{REPEATS[op]}"
+            return f"(?:{self.sequence(av[2], flags)}){_times(av[0], int(av[1]))}{REPEATS[op]}"
         if op == "ATOMIC_GROUP":
             return f"(?>{self.sequence(av, flags)})"
         if op in ("ASSERT", "ASSERT_NOT"):
@@ -91,6 +94,71 @@ class _Writer:
         raise ValueError(f"{op} has no counterpart")
 
 
+def _times(low: int, high: int) -> str:
+    if low == high:
+        return "" if low == 1 else f"{{{low}}}"
+    return {(0, MANY): "*", (1, MANY): "+", (0, 1): "?"}.get((low, high), f"{{{low},{'' if high == MANY else high}}}")
+
+
+def _single(items) -> bool:
+    """Whether the items are one character, written as one class."""
+    if len(items) != 1 or str(items[0][0]) not in ("LITERAL", "NOT_LITERAL", "IN", "ANY"):
+        return False
+    return str(items[0][0]) != "IN" or not _character("IN", items[0][1], 0).startswith("(")
+
+
+def _few(item, flags: int) -> set[str] | None:
+    """The characters of a literal or a small class of ASCII, digits standing for all digits; None for others."""
+    op, av = str(item[0]), item[1]
+    if op not in ("LITERAL", "IN") or flags & re.I:
+        return None
+    out: set[str] = set()
+    for kind, value in [(op, av)] if op == "LITERAL" else av:
+        if str(kind) == "LITERAL" and value < 0x80:
+            out.add(chr(value))
+        elif str(kind) == "RANGE" and value[1] < 0x80:
+            out.update(map(chr, range(value[0], value[1] + 1)))
+        elif str(value) == "CATEGORY_DIGIT":
+            out.update("0123456789")
+        else:
+            return None
+    return out
+
+
+def _apart(item, following, flags: int) -> bool:
+    """Whether what follows is surely one character that the item isn't."""
+    if not following:
+        return False
+    one, two = _few(item, flags), _few(following[0], flags)
+    return one is not None and two is not None and not one & two
+
+
+def _first(items, flags: int) -> str | None:
+    """Members of a class that holds whatever a match of the items can start with; None where that isn't told, or a match may
+    be empty."""
+    for i, (op, av) in enumerate(items):
+        name = str(op)
+        if name in ("AT", "ASSERT", "ASSERT_NOT"):
+            continue
+        if name == "LITERAL":
+            return _escaped(av)
+        if name == "IN":
+            inverse = str(av[0][0]) == "NEGATE"
+            members, nested = _members(av, flags) if not inverse else ("", True)
+            return None if nested else members
+        if name == "SUBPATTERN":
+            same = not (av[1] | av[2]) & re.I
+            return _first([*av[3], *items[i + 1 :]], flags) if same else None
+        if name == "BRANCH":
+            each = [_first([*p, *items[i + 1 :]], flags) for p in av[1]]
+            return None if None in each else "".join(dict.fromkeys(each))
+        if name in ("MAX_REPEAT", "MIN_REPEAT"):
+            inside, after = _first(av[2], flags), "" if av[0] else _first(items[i + 1 :], flags)
+            return None if inside is None or after is None else inside + after
+        return None
+    return None
+
+
 def _scoped(text: str, outer: int, inner: int) -> str:
     """text under the case flag of inner, where outer holds."""
     if (outer ^ inner) & re.I:
@@ -355,5 +423,9 @@ def translated(pattern: str, flags: int = 0) -> Translated:
     else:
         body, marked = _marked(items, value, flags)
     fold = "(?iu)" if flags & re.I else ""
+    # Most places of a text are passed by on their first character.
+    first = _first(items, flags)
+    if first is not None and "a-z" not in first:
+        body = f"(?=[{first}])(?:{body})"
     told, hint = max(_hints(items, flags), default=(0.0, ""))
     return Translated(fold + body, fold + hint if told >= 3 else "", marked)

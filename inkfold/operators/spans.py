@@ -62,11 +62,12 @@ def marked_matches(text: Column, pattern: str, replacement: str = f"{OPEN}$0{CLO
 
 
 def _typed(text: Column, rule: rules.Rule, jurisdiction: str) -> Column:
+    rule = rules.running(rule)
     found = marked_matches(text, rule.java, rule.replacement)
     if rule.validator:
         found = F.filter(found, lambda m: checksums.check(rule.validator, m["text"]))
     typed = F.transform(found, lambda m: F.struct(m["start"], m["end"], F.lit(rule.type).alias("entity_type"), m["text"], F.lit(RULE_SCORE).alias("score"), F.lit("regex").alias("source"), F.lit(jurisdiction).alias("jurisdiction")))
-    return F.when(text.rlike(rule.hint), typed).otherwise(no_spans())
+    return F.when(text.rlike(rule.hint), typed).otherwise(no_spans()) if rule.hint else typed
 
 
 def _own_texts(found: Column, text: Column) -> Column:

@@ -11,12 +11,13 @@ import hashlib
 import hmac
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkfold.functions.text import PLACEHOLDER, find_placeholders, hmac_sha256, make_placeholder
 from inkfold.operators.spans import once
+from inkfold.sources import bucketed
 
 KEY_INFO = b"session-data-key-v1"
 #: Suffixes of input texts from here on can't meet ours.
@@ -27,6 +28,15 @@ def fingerprint(key: bytes, session: Column, entity_type: Column, value: Column)
     return hmac_sha256(key, F.concat_ws(":", session.cast("string"), entity_type, value))
 
 
+def hkdf(master: bytes, salt: bytes, info: bytes, length: int = 32) -> bytes:
+    """HKDF-SHA256 (RFC 5869)."""
+    first, block, out = hmac.new(salt, master, hashlib.sha256).digest(), b"", b""
+    while len(out) < length:
+        block = hmac.new(first, block + info + bytes([len(out) // 32 + 1]), hashlib.sha256).digest()
+        out += block
+    return out[:length]
+
+
 def session_key(master: bytes, session: Column, info: bytes = KEY_INFO) -> Column:
     """A session's 32-byte key: HKDF-SHA256 (RFC 5869) of the master key, with the session id as salt."""
     if len(master) != 32:
@@ -34,11 +44,7 @@ def session_key(master: bytes, session: Column, info: bytes = KEY_INFO) -> Colum
 
     @F.pandas_udf(T.BinaryType())
     def derive(sessions: pd.Series) -> pd.Series:
-        def one(s: str) -> bytes:
-            first = hmac.new(s.encode(), master, hashlib.sha256).digest()
-            return hmac.new(first, info + b"\x01", hashlib.sha256).digest()
-
-        return sessions.map(one, na_action="ignore")
+        return sessions.map(lambda s: hkdf(master, s.encode(), info), na_action="ignore")
 
     return derive(session.cast("string"))
 
@@ -154,6 +160,21 @@ def sessions(found: DataFrame, ttl_hours: int = 24) -> DataFrame:
     return found.select("session_id").distinct().select("session_id", F.lit(None).cast("string").alias("document_hash"), F.current_timestamp().alias("created_at"), (F.current_timestamp() + F.expr(f"INTERVAL {int(ttl_hours)} HOURS")).alias("expires_at"))
 
 
+#: What tells a stored token from others, and the columns of the table of tokens.
+TOKEN_KEYS = ("session_id", "value_fingerprint")
+TOKEN_COLUMNS = "session_id string, entity_type string, placeholder string, value_fingerprint string, value_ciphertext binary, occurrences bigint"
+
+
+def token_table(spark: SparkSession, path: str, buckets: int = 64) -> str:
+    """The name of the stored table of tokens at path, in buckets by session and fingerprint."""
+    return bucketed.table(spark, path, TOKEN_COLUMNS, TOKEN_KEYS, buckets)
+
+
+def store_tokens(tokens: DataFrame, name: str) -> None:
+    """Append the tokens (with value_ciphertext) that the table lacks; it isn't shuffled, however large it is."""
+    bucketed.insert_absent(tokens, name, TOKEN_KEYS)
+
+
 def new_tokens(tokens: DataFrame, stored: DataFrame) -> DataFrame:
     """Tokens that aren't stored yet, to be appended (insert or do nothing)."""
     return tokens.join(stored.select("session_id", "value_fingerprint"), ["session_id", "value_fingerprint"], "left_anti")

@@ -13,6 +13,7 @@ from inkfold.operators import audit, dashboard, evaluation, payload, policy, pro
 from inkfold.plans import relations as R
 from inkfold.sources import tables
 from inkfold.sources.scratch import shared_folder, stored
+from inkfold.streaming import ledger
 from inkfold.streaming.restore import emitted, run_restored
 
 KEY, MASTER = b"fingerprint-key-for-tests", bytes(range(32))
@@ -204,6 +205,16 @@ def streamed_round_trip(spark, sf_dir):
     return told.select(*IDS, F.md5(restored.cast("binary")).alias("restored_md5"))
 
 
+@_query(f"{_TOKENS.replace(_MERGED, _ID_MERGED)} SELECT session_id, entity_type, value, placeholder, {_FINGERPRINT} AS value_fingerprint, occurrences FROM tokens")
+def stored_tokens(spark, sf_dir):
+    """A stored table of tokens that gets some of them first, and then all: each is in it once."""
+    tokens = stored(vault.token_map(found_identifiers(spark, sf_dir), KEY, master=MASTER), "tokens")
+    name = vault.token_table(spark, f"{shared_folder(spark)}/inkfold/tokens-{uuid.uuid4().hex}", 8)
+    vault.store_tokens(tokens.where(F.hash("session_id") % 2 == 0), name)
+    vault.store_tokens(tokens, name)
+    return vault.opened(spark.table(name), MASTER).select("session_id", "entity_type", "value", "placeholder", "value_fingerprint", "occurrences")
+
+
 @_query(f"SELECT session_id, md5(string_agg(replace(text, '№', 'No'), '|' ORDER BY text_idx)) AS restored_md5 FROM ({R.IDENTIFIERS}) t GROUP BY 1")
 def streamed_sessions(spark, sf_dir):
     """A real stream: each session's sanitized texts as numbered chunks, of which every other one comes micro-batches late."""
@@ -267,6 +278,27 @@ def audit_unlinked(spark, sf_dir):
     return audit.written(spark, path).select("team_id", "id", "prev_hash", "event_hash")
 
 
+@_query(f"{_CHAIN} SELECT team_id, id, prev_hash, event_hash, TRUE AS intact FROM chain")
+def audit_streamed(spark, sf_dir):
+    """The log as the sink of a real stream of four micro-batches, of which two come again."""
+    folder = f"{shared_folder(spark)}/inkfold/audit-{uuid.uuid4().hex}"
+    events = stored(R.events(spark, sf_dir), "events")
+    most = (events.agg(F.max("id")).first()[0] or 0) + 1
+    for k in range(4):
+        part = events.where((F.col("id") * 4 >= most * k) & (F.col("id") * 4 < most * (k + 1)))
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/feed")
+    feed = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/feed")
+    put = ledger.sink(f"{folder}/log", KEY)
+
+    def twice(batch, batch_id):
+        put(batch, batch_id)
+        if batch_id % 2:
+            put(batch, batch_id)
+
+    feed.writeStream.foreachBatch(twice).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return ledger.verified(spark, f"{folder}/log", KEY).select("team_id", "id", "prev_hash", "event_hash", "intact")
+
+
 # Dashboard.
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkfold.operators import audit
+from inkfold.sources.scratch import stored
 
 
 def _replace(rows: DataFrame, path: str) -> None:
@@ -72,15 +73,47 @@ def log(spark: SparkSession, path: str) -> DataFrame:
     return events.join(F.broadcast(done.select("batch_id").distinct()), "batch_id", "left_semi")
 
 
-def verified(spark: SparkSession, path: str, key: bytes) -> DataFrame:
-    """The log with `intact`. Ids may start anew in each batch, so it is verified batch by batch, each from the heads that the one
-    before it left: batches are checked side by side."""
+def verified(spark: SparkSession, path: str, key: bytes, only: list[int] | None = None) -> DataFrame:
+    """The log, or some batches of it, with `intact`. Ids may start anew in each batch, so it is verified batch by batch, each
+    from the heads that the one before it left: batches are checked side by side."""
     rows, done = log(spark, path), _heads(spark, path)
+    if done is None:
+        return rows.withColumn("intact", F.lit(True))
     order = Window.partitionBy("team_id", "batch_id").orderBy("id")
-    batches = rows.select("batch_id").distinct().withColumn("_before", F.lag("batch_id").over(Window.orderBy("batch_id")))
+    batches = done.select("batch_id").distinct().withColumn("_before", F.lag("batch_id").over(Window.orderBy("batch_id")))
+    rows = rows if only is None else rows.where(F.col("batch_id").isin(only))
     heads = done.select("team_id", F.col("head").alias("_head"), F.col("batch_id").alias("_before"))
     known = rows.join(F.broadcast(batches), "batch_id").join(heads, ["team_id", "_before"], "left")
     before = F.coalesce(F.lag("event_hash", 1).over(order), "_head", F.lit(audit.GENESIS))
     expected = audit.hmac_sha256(key, F.concat(F.col("prev_hash"), audit.payload()))
     intact = F.coalesce((F.col("prev_hash") == before) & (F.col("event_hash") == expected), F.lit(False))
     return known.withColumn("intact", intact).select(*rows.columns, "intact")
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """(batch_id, files): a digest of the names, sizes and times of each finished batch's files; no event is read."""
+    told = log(spark, path).select("batch_id", F.struct("_metadata.file_name", "_metadata.file_size", "_metadata.file_modification_time").alias("f")).distinct()
+    one = F.concat_ws(":", F.col("f.file_name"), F.col("f.file_size"), F.unix_micros("f.file_modification_time"))
+    return told.groupBy("batch_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(one)), ",").cast("binary"), 256).alias("files"))
+
+
+def verify_on(spark: SparkSession, path: str, key: bytes) -> DataFrame:
+    """A row for each finished batch: batch_id, state (known, new or changed), n_events and n_broken (null for what is known).
+
+    Batches that were intact are noted with a digest of their files, and aren't read again while that stays the same; a batch
+    whose files changed is read again and reported, whether its events fit or not."""
+    known = audit.written(spark, f"{path}/verified")
+    files = _files(spark, path)
+    if known is None:
+        judged = files.withColumn("state", F.lit("new"))
+    else:
+        last = known.groupBy("batch_id").agg(F.max_by("files", "noted").alias("before"))
+        state = F.when(F.col("before").isNull(), "new").when(F.col("before") == F.col("files"), "known").otherwise("changed")
+        judged = files.join(last, "batch_id", "left").select("batch_id", "files", state.alias("state"))
+    judged = stored(judged, "judged")
+    # The few batches to read are named, so that the folders of others aren't opened.
+    wanted = [r["batch_id"] for r in judged.where("state <> 'known'").select("batch_id").collect()]
+    read = verified(spark, path, key, wanted).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_events"), F.count_if(~F.col("intact")).alias("n_broken"))
+    out = stored(judged.join(read, "batch_id", "left"), "verified")
+    out.where("n_broken = 0").select("batch_id", "files", F.current_timestamp().alias("noted")).write.mode("append").parquet(f"{path}/verified")
+    return out.drop("files")

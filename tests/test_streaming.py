@@ -6,8 +6,10 @@ import json
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from inkfold.operators import audit, sanitize
+from inkfold.operators import audit, sanitize, vault
+from inkfold.sources import bucketed
 from inkfold.streaming import ledger, restore
 
 WHOLE = "to [[EMAIL_000001]], [[IP_000002]] and [[EMAIL_zz [[X_12]] or [[ [[EMAIL_000001]"
@@ -162,3 +164,36 @@ def test_an_error_comes_inline_before_the_end_mark(spark):
     assert [len(x) for x in lines.values()] == [3, 2, 3] and all(x[-1] == "data: [DONE]\n\n" for x in lines.values())
     assert json.loads(lines["a"][1][6:])["error"] == {"message": "upstream error: 'x'", "type": "gateway_error", "code": "provider_error"}
     assert json.loads(lines["a"][0][6:])["choices"][0]["delta"]["content"] == "one " and "[[EM" in lines["c"][1]
+
+
+def test_verification_goes_on_after_what_it_knows(spark, tmp_path):
+    path, put = str(tmp_path / "log"), ledger.sink(str(tmp_path / "log"), b"k")
+    for k in range(3):
+        put(spark.createDataFrame(events(5 * k, 5 * k + 5), EVENT), k)
+    told = lambda: sorted((r["batch_id"], r["state"], r["n_events"], r["n_broken"]) for r in ledger.verify_on(spark, path, b"k").collect())
+    assert told() == [(0, "new", 5, 0), (1, "new", 5, 0), (2, "new", 5, 0)]
+    put(spark.createDataFrame(events(15, 18), EVENT), 3)
+    assert told() == [(0, "known", None, None), (1, "known", None, None), (2, "known", None, None), (3, "new", 3, 0)]
+    part = f"{path}/events/batch_id=1"
+    spark.read.parquet(part).withColumn("latency_ms", F.when(F.col("id") == 7, 99).otherwise(F.col("latency_ms"))).write.parquet(str(tmp_path / "copy"))
+    spark.read.parquet(str(tmp_path / "copy")).write.mode("overwrite").parquet(part)
+    for _ in range(2):  # what is broken stays reported
+        assert told() == [(0, "known", None, None), (1, "changed", 5, 1), (2, "known", None, None), (3, "known", None, None)]
+
+
+def test_a_stored_table_of_tokens_stays_where_it_lies(spark, tmp_path):
+    name = vault.token_table(spark, str(tmp_path / "tokens"), 4)
+    tokens = spark.range(50).select(F.concat(F.lit("s"), F.col("id") % 5).alias("session_id"), F.lit("T").alias("entity_type"), F.concat(F.lit("p"), "id").alias("placeholder"), F.sha2(F.col("id").cast("string"), 256).alias("value_fingerprint"), F.col("id").cast("string").cast("binary").alias("value_ciphertext"), F.lit(1).cast("long").alias("occurrences"))
+    vault.store_tokens(tokens.where("id < 20"), name)
+    vault.store_tokens(tokens, name)
+    vault.store_tokens(tokens.where("id > 40"), name)
+    assert sorted(r["placeholder"] for r in spark.table(name).collect()) == sorted(f"p{i}" for i in range(50))
+    plan = bucketed.absent(tokens, name, vault.TOKEN_KEYS)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan and plan.count("Exchange hashpartitioning") == 1  # of the new tokens
+    spark.sql(f"DROP TABLE {name}")
+    assert spark.table(vault.token_table(spark, str(tmp_path / "tokens"), 4)).count() == 50
+
+
+def test_key_derivation_gives_the_standards_first_vector():
+    out = vault.hkdf(b"\x0b" * 22, bytes(range(13)), bytes(range(0xF0, 0xFA)), 42)
+    assert out.hex() == "3cb25f25faacd57a90434f64d0362f2a2d2d0a90cf1a5a4c5db02d56ecc4c5bf34007208d5b887185865"
