@@ -3,6 +3,8 @@ over inputs made from the given tables."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from inkfold.operators import audit, dashboard, evaluation, payload, policy, pro
 from inkfold.plans import relations as R
 from inkfold.plans.catalog import _NORMAL, _TURNS, CODES, KEY, _query, found_identifiers, payloads
 from inkfold.sources import tables
-from inkfold.sources.scratch import stored
+from inkfold.sources.scratch import shared_folder, stored
 
 IDS = ["session_id", "text_idx"]
 
@@ -299,6 +301,15 @@ def audit_page_total(spark, sf_dir):
     return dashboard.audit_total(R.events(spark, sf_dir), "team-3", provider="error")
 
 
+@_query(f"SELECT id, provider FROM ({R.EVENTS}) e WHERE team_id = 'team-5' ORDER BY id DESC LIMIT 20 OFFSET 100")
+def clustered_audit_page(spark, sf_dir):
+    """The sixth page of a team's events, from a log that is clustered by id in two writes."""
+    path, events = f"{shared_folder(spark)}/inkfold/clustered-{uuid.uuid4().hex}", R.events(spark, sf_dir)
+    for part in ("id % 2 = 0", "id % 2 = 1"):
+        dashboard.cluster(events.where(part), path)
+    return dashboard.clustered_page(spark, path, 6, 20, "team-5").select("id", "provider")
+
+
 @_query(f"SELECT id, 'ITIN,SSN' AS types, TRUE AS blocked, latency_ms IS NOT NULL AND FALSE AS timed FROM ({R.EVENTS}) e WHERE blocked")
 def blocked_events(spark, sf_dir):
     rows = R.events(spark, sf_dir).where("blocked").withColumn("offending", F.array(F.lit("ITIN"), F.lit("SSN")))

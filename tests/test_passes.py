@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,6 +110,30 @@ def test_equal_requests_are_asked_once(spark, tmp_path, client):
     assert len(got) == 42 and n_calls() == 1 and {r["status"] for r in got if r["body"]} == {200} and {r["status"] for r in got if not r["body"]} == {None}
 
 
+@pytest.mark.parametrize("values", [[], [5], [5, None, 8], [1, 2, 3, 10**9], [-7, -8], [-7, -6, 0, 1], [3] * 9, list(range(0, 50_000, 7)), [10**15, -(10**15), 3, 4]])
+def test_median_by_narrowing_is_exact(spark, values):
+    log = spark.createDataFrame([(v, False) for v in values], "latency_ms long, blocked boolean")
+    known = sorted(v for v in values if v is not None)
+    expected = None if not known else round((Fraction(known[(len(known) - 1) // 2]) + known[len(known) // 2]) / 2)
+    row = dashboard.totals(log).first()
+    assert (row["total_requests"], row["median_latency_ms"]) == (len(values), expected)
+
+
+def test_deep_pages_read_as_few_files_as_the_first(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dashboard, "BLOCK", 100)
+    events = spark.range(2000).select("id", F.concat(F.lit("t"), F.col("id") % 3).alias("team_id"))
+    for part in ("id < 950", "id >= 950"):
+        dashboard.cluster(events.where(part), str(tmp_path / "log"))
+    ids, own = list(range(1999, -1, -1)), [i for i in range(1999, -1, -1) if i % 3 == 1]
+    pages = {n: dashboard.clustered_page(spark, str(tmp_path / "log"), n, 40) for n in (1, 26, 50, 51)}
+    assert [[r["id"] for r in p.collect()] for p in pages.values()] == [ids[:40], ids[1000:1040], ids[1960:2000], []]
+    blocks = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert len(pages[1].inputFiles()) >= 20 and all("PartitionFilters: [isnotnull(block" in blocks(pages[n]) or "PartitionFilters: [(block" in blocks(pages[n]) or "PartitionFilters: [block" in blocks(pages[n]) for n in (1, 50))
+    assert [r["id"] for r in dashboard.clustered_page(spark, str(tmp_path / "log"), 14, 50, "t1").collect()] == own[650:700]
+    with pytest.raises(ValueError):
+        dashboard.clustered_page(spark, str(tmp_path / "log"), 0)
+
+
 # What nothing else tests.
 
 
