@@ -13,25 +13,31 @@ from inkfold.operators import payload as payload_
 from inkfold.sources import tables
 
 
-def find_names(batch):
-    """Names in capitals; a text with BOOM can't be stood, one with SHORT gives a result that isn't one."""
-    if any("BOOM" in t for t in batch):
-        raise RuntimeError("boom")
-    out = []
-    for t in batch:
-        at = t.find("Ann")
-        out.append([("PERSON", at, at + 3, 0.9), ("PET", 0, 1, 0.9), ("PERSON", 5, 10_000, 0.9)] if at >= 0 else [("PERSON",)] if "SHORT" in t else [])
-    return out
+@pytest.fixture(scope="module")
+def stand_ins():
+    """A recognizer and a model; functions of a test's own, since workers can't import test modules."""
+
+    def find_names(batch):
+        """Names; a text with BOOM can't be stood, one with SHORT gives a result that isn't one."""
+        if any("BOOM" in t for t in batch):
+            raise RuntimeError("boom")
+        out = []
+        for t in batch:
+            at = t.find("Ann")
+            out.append([("PERSON", at, at + 3, 0.9), ("PET", 0, 1, 0.9), ("PERSON", 5, 10_000, 0.9)] if at >= 0 else [("PERSON",)] if "SHORT" in t else [])
+        return out
 
+    def answer(batch):
+        return ['{"entities":[{"type":"code word","text":"swordfish"}]}' if "ask" in t else "no idea" for t in batch]
 
-def answer(batch):
-    return ['{"entities":[{"type":"code word","text":"swordfish"}]}' if "ask" in t else "no idea" for t in batch]
+    return find_names, answer
 
 
 TEXTS = [(1, "Ann at a@b.co"), (2, "BOOM Ann c@d.co"), (3, "ask: swordfish e@f.co"), (4, "SHORT"), (5, None), (6, ""), (7, "Ann again, ask for swordfish")]
 
 
-def test_failing_passes_leave_the_others_spans(spark):
+def test_failing_passes_leave_the_others_spans(spark, stand_ins):
+    find_names, answer = stand_ins
     rows = spark.createDataFrame(TEXTS, "id long, text string").coalesce(1)
     found = passes.detect(rows, [passes.Recognizer("names", find_names), passes.Asker("words", answer, gate=F.col("id") != 7)])
     assert found.columns == ["id", "text", "normalized", "spans", "pass_errors"]
