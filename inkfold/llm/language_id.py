@@ -92,7 +92,7 @@ def fit(labelled: DataFrame, bits: int = 15, alpha: float = 0.5, cells: int = 1
     """Learn class priors and n-gram probabilities from columns text and lang. The model has 2**bits buckets a label, and
     fewer where there are so many labels that it would have more than `cells` numbers."""
     rows = labelled.select(F.col("text"), F.col("lang").cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    langs = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").limit(cells >> 4).collect()]
+    langs = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").collect()]
     bits = max(3, min(bits, (cells // max(1, len(langs))).bit_length() - 1))
     if not langs:
         return {"langs": [], "prior": np.zeros(0), "matrix": np.zeros((1 << bits, 0), np.float32), "bits": bits}

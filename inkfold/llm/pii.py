@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -108,62 +109,86 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
+def _key_number(key: str) -> int:
+    """A number that tells keys apart; 0 for the empty one."""
+    return int.from_bytes(hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=8).digest()) | 1 if key else 0
+
+
 class Document:
-    """A text's candidate tokens with their features, neighbours, skip edges and pattern labels (0: none)."""
+    """A text's candidate tokens with their features, neighbours, skip edges and pattern labels (0: none), in arrays: some
+    fifty bytes for each token, whatever a text holds."""
 
     def __init__(self, text: str, found: list[Span]):
-        self.spans = list(candidates(text))
-        tokens = [text[a:b] for a, b in self.spans]
-        self.features = []
-        for i, (a, b) in enumerate(self.spans):
-            before = tokens[i - 1] if i and not text[self.spans[i - 1][1] : a].strip() else (text[max(0, a - 20) : a].split() or [""])[-1]
-            after = tokens[i + 1] if i + 1 < len(tokens) and not text[b : self.spans[i + 1][0]].strip() else ""
-            self.features.append(_features(tokens[i], before, after))
-        self.chain = [(i, i + 1) for i in range(len(tokens) - 1) if not text[self.spans[i][1] : self.spans[i + 1][0]].strip()]
-        self.keys = [_key(t) for t in tokens]
-        self.skip, last = [], {}
-        for i, k in enumerate(self.keys):
-            if k and k in last:
-                self.skip.append((last[k], i))
-            last[k] = i
-        self.labels = np.zeros(len(tokens), np.int64)
+        flat, ends, keys, spans = array("B"), array("q", [0]), array("Q"), array("q")
+        tokens = candidates(text)
+        last, now, after = None, next(tokens, None), next(tokens, None)
+        self.joined = array("B")  # whether a token stands right after the one before it
+        while now:
+            a, b = now
+            token, beside = text[a:b], after is not None and not text[b : after[0]].strip()
+            held = last is not None and not text[last[1] : a].strip()
+            before = text[last[0] : last[1]] if held else (text[max(0, a - 20) : a].split() or [""])[-1]
+            flat.extend(_features(token, before, text[after[0] : after[1]] if beside else ""))
+            ends.append(len(flat))
+            keys.append(_key_number(_key(token)))
+            self.joined.append(held)
+            spans.extend(now)
+            last, now, after = now, after, next(tokens, None) if after else None
+        self.spans = np.frombuffer(spans, np.int64).reshape(-1, 2) if spans else np.zeros((0, 2), np.int64)
+        self.flat, self.ends, self.keys = np.frombuffer(flat, np.uint8) if flat else np.zeros(0, np.uint8), np.frombuffer(ends, np.int64), np.frombuffer(keys, np.uint64) if keys else np.zeros(0, np.uint64)
+        second = np.flatnonzero(np.frombuffer(self.joined, np.uint8)) if self.joined else np.zeros(0, np.int64)
+        self.chain = np.stack([second - 1, second], 1).astype(np.int32)
+        order = np.argsort(self.keys, kind="stable")
+        same = (self.keys[order][1:] == self.keys[order][:-1]) & (self.keys[order][1:] != 0)
+        skip = np.stack([order[:-1][same], order[1:][same]], 1)
+        self.skip = skip[np.argsort(skip[:, 1], kind="stable")].astype(np.int32)
+        self.labels = np.zeros(len(self.spans), np.int64)
+        starts, stops = self.spans[:, 0], self.spans[:, 1]
         at = 0
         for kind, start, end in sorted(found, key=lambda s: s[1]):
-            while at < len(self.spans) and self.spans[at][1] <= start:
-                at += 1
-            k = at
-            while k < len(self.spans) and self.spans[k][0] < end:
-                self.labels[k] = KINDS.index(kind) + 1
-                k += 1
+            at = max(at, int(np.searchsorted(stops, start, "right")))  # the first token that ends after the span's start
+            self.labels[at : max(at, int(np.searchsorted(starts, end, "left")))] = KINDS.index(kind) + 1
+
+    def features(self, i: int) -> np.ndarray:
+        return self.flat[self.ends[i] : self.ends[i + 1]]
+
+
+#: So many edges are worked on at once.
+EDGES = 1 << 15
 
 
 def posteriors(doc: Document, model: dict, rounds: int = 10) -> np.ndarray:
-    """Loopy belief propagation: a row of label probabilities for each token. Pattern labels are held."""
+    """Loopy belief propagation: a row of label probabilities for each token. Pattern labels are held. An edge keeps its two
+    messages; what it takes to compute them is there for EDGES of them at a time."""
     n, labels = len(doc.spans), len(KINDS) + 1
-    own = np.array([model["node"][f].sum(0) for f in doc.features])
-    for i in np.flatnonzero(doc.labels):
-        own[i] = -50.0
-        own[i, doc.labels[i]] = 0.0
-    edges = [(a, b, model["chain"]) for a, b in doc.chain] + [(a, b, model["skip"]) for a, b in doc.skip]
-    if not edges:
-        total = own
-    else:
-        a, b = np.array([e[0] for e in edges]), np.array([e[1] for e in edges])
-        table = np.array([e[2] for e in edges])
-        table = np.concatenate([table, table.transpose(0, 2, 1)])
-        source, target = np.concatenate([a, b]), np.concatenate([b, a])
-        back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
-        message = np.zeros((len(source), labels))
+    own = np.add.reduceat(model["node"][doc.flat], doc.ends[:-1], axis=0) if n <= EDGES and n else np.zeros((n, labels))
+    for lo in range(0, n if n > EDGES else 0, EDGES):
+        hi = min(n, lo + EDGES)
+        own[lo:hi] = np.add.reduceat(model["node"][doc.flat[doc.ends[lo] : doc.ends[hi]]], doc.ends[lo:hi] - doc.ends[lo], axis=0)
+    held = np.flatnonzero(doc.labels)
+    own[held] = -50.0
+    own[held, doc.labels[held]] = 0.0
+    edges = np.concatenate([doc.chain, doc.skip])
+    count, total = len(edges), own
+    if count:
+        tables = np.stack([model["chain"], model["skip"], model["chain"].T, model["skip"].T])
+        source, target = edges.T.reshape(-1), edges[:, ::-1].T.reshape(-1)
+        kind = np.repeat(np.array([0, 1, 2, 3], np.int8), [len(doc.chain), len(doc.skip)] * 2)
+        message = np.zeros((2 * count, labels))
         for _ in range(rounds):
             total = own.copy()
             np.add.at(total, target, message)
-            inside = (total[source] - message[back])[:, :, None] + table
-            new = np.logaddexp.reduce(inside, axis=1)
-            new -= np.logaddexp.reduce(new, axis=1, keepdims=True)
-            message = 0.5 * message + 0.5 * new
+            fresh = np.empty_like(message)
+            for lo in range(0, 2 * count, EDGES):
+                some = np.arange(lo, min(2 * count, lo + EDGES))
+                back = message[np.where(some < count, some + count, some - count)]
+                new = np.logaddexp.reduce((total[source[some]] - back)[:, :, None] + tables[kind[some]], axis=1)
+                new -= np.logaddexp.reduce(new, axis=1, keepdims=True)
+                fresh[some] = 0.5 * message[some] + 0.5 * new
+            message = fresh
         total = own.copy()
         np.add.at(total, target, message)
-    total -= total.max(1, keepdims=True)
+    total -= total.max(1, keepdims=True) if n else 0
     p = np.exp(total)
     return p / p.sum(1, keepdims=True) if n else p
 
@@ -180,21 +205,20 @@ def _plausible(kind: str, text: str) -> bool:
 def added(text: str, found: list[Span], model: dict, sure: float = 0.8) -> list[Span]:
     """Spans that the field adds to those of the patterns."""
     doc = Document(text, found)
-    if not doc.spans or not model["trained"]:
+    if not len(doc.spans) or not model["trained"]:
         return []
     p = posteriors(doc, model)
     best = np.where((p.max(1) >= sure) & (doc.labels == 0), p.argmax(1), 0)
-    joined = {b for _, b in doc.chain}
     runs: list[list[int]] = []
     for i in np.flatnonzero(best):
-        if runs and runs[-1][-1] == i - 1 and i in joined and best[i] == best[i - 1] and KINDS[best[i] - 1] in ("card", "phone"):
+        if runs and runs[-1][-1] == i - 1 and doc.joined[i] and best[i] == best[i - 1] and KINDS[best[i] - 1] in ("card", "phone"):
             runs[-1].append(i)
         else:
             runs.append([i])
     out = []
     for run in runs:
         kind = KINDS[best[run[0]] - 1]
-        start, end = doc.spans[run[0]][0], doc.spans[run[-1]][1]
+        start, end = int(doc.spans[run[0], 0]), int(doc.spans[run[-1], 1])
         while start < end and not (text[start].isalnum() or text[start] in "+("):
             start += 1
         while end > start and not text[end - 1].isalnum():
@@ -212,10 +236,10 @@ def _sample(sample_tokens: int):
                 doc = Document(text, patterns(text))
                 n = min(len(doc.spans), sample_tokens)
                 if n:
-                    cut = lambda edges: [x for e in edges if max(e) < n for x in e]
-                    named = {k for k, y in zip(doc.keys, doc.labels) if k and y}
-                    labels = [-1 if not y and k in named else int(y) for k, y in zip(doc.keys[:n], doc.labels[:n])]
-                    rows.append((order, doc.features[:n], labels, cut(doc.chain), cut(doc.skip)))
+                    cut = lambda edges: edges[edges.max(1, initial=-1) < n].reshape(-1).tolist()
+                    named = set(doc.keys[(doc.labels > 0) & (doc.keys != 0)].tolist())
+                    labels = [-1 if not y and k in named else y for k, y in zip(doc.keys[:n].tolist(), doc.labels[:n].tolist())]
+                    rows.append((order, [doc.features(i).tolist() for i in range(n)], labels, cut(doc.chain), cut(doc.skip)))
             columns = list(zip(*rows)) if rows else [[]] * 5
             ints = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.list_(ints), ints, ints, ints])], ["order", "features", "labels", "chain", "skip"])
