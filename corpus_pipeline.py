@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from inkfold.llm import common, decontaminate, line_dedup, packing, quality, simhash
+from inkfold.sources.scratch import scope
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +48,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = common.stash(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scope(spark):  # what a stage has stored goes when its result is written
+            docs = common.stash(stage(spark, docs, sf_dir), name, keep=True)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -66,9 +66,13 @@ def held_ends(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", F.when(n > 0, F.right(told, n)).otherwise("").alias("held"), n.cast("int").alias("n"))
 
 
-@_query("SELECT event_id, regexp_full_match(event_type, '[A-Za-z0-9][A-Za-z0-9._-]{0,63}') AS plain, FALSE AS path FROM events")
+@_query("""SELECT doc_id, coalesce(regexp_full_match(word, '[A-Za-z0-9][A-Za-z0-9._-]{0,63}'), FALSE) AS plain, coalesce(regexp_full_match(start, '[A-Za-z0-9][A-Za-z0-9._-]{0,63}'), FALSE) AS path
+FROM (SELECT doc_id, string_split(text, ' ')[1] AS word, substr(replace(text, ' ', '-'), 1, 60 + doc_id % 10) AS start FROM documents) d""")
 def model_names(spark, sf_dir):
-    return _events(spark, sf_dir).select("event_id", text.valid_model_name(F.col("event_type")).alias("plain"), text.valid_model_name(F.concat(F.lit("../"), F.col("event_type"))).alias("path"))
+    """Whether the first word of a document, and its start without spaces, could name a model."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    start = F.substr(F.replace("text", F.lit(" "), F.lit("-")), F.lit(1), (F.lit(60) + F.col("doc_id") % 10).cast("int"))
+    return docs.select("doc_id", text.valid_model_name(F.get(F.split("text", " "), F.lit(0))).alias("plain"), text.valid_model_name(start).alias("path"))
 
 
 @_query(f"SELECT session_id, text_idx, md5(replace(text, '№', 'No') || ' No x') AS normalized_md5 FROM ({R.TEXTS}) t")
@@ -178,42 +182,48 @@ def refused_requests(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", refused["status"].alias("status"))
 
 
+def _said(spark, sf_dir: str) -> DataFrame:
+    """Turns with a text, and the text as JSON."""
+    quoted = F.to_json(F.struct(F.col("text").alias("t")))
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text <> ''").select("conv_id", "turn", F.substr(quoted, F.lit(6), F.length(quoted) - 6).alias("said"))
+
+
 _ANSWERS = {
-    "openai": '{"choices":[{"message":{"content":"%s"},"finish_reason":"length"}],"usage":{"prompt_tokens":3,"completion_tokens":4}}',
-    "anthropic": '{"content":[{"type":"text","text":"%s"},{"type":"tool_use","text":"-"}],"stop_reason":"max_tokens","usage":{"input_tokens":3,"output_tokens":4}}',
-    "gemini": '{"candidates":[{"content":{"parts":[{"text":"%s"}]},"finishReason":"MAX_TOKENS"}],"usageMetadata":{"promptTokenCount":3,"candidatesTokenCount":4}}',
-    "ollama": '{"message":{"content":"%s"},"done":false,"prompt_eval_count":3,"eval_count":4}',
+    "openai": '{"choices":[{"message":{"content":%s},"finish_reason":"length"}],"usage":{"prompt_tokens":3,"completion_tokens":4}}',
+    "anthropic": '{"content":[{"type":"text","text":%s},{"type":"tool_use","text":"-"}],"stop_reason":"max_tokens","usage":{"input_tokens":3,"output_tokens":4}}',
+    "gemini": '{"candidates":[{"content":{"parts":[{"text":%s}]},"finishReason":"MAX_TOKENS"}],"usageMetadata":{"promptTokenCount":3,"candidatesTokenCount":4}}',
+    "ollama": '{"message":{"content":%s},"done":false,"prompt_eval_count":3,"eval_count":4}',
 }
 
 
-@_query(" UNION ALL ".join(f"SELECT event_id, '{name}' AS provider, event_type AS content, 'length' AS finish_reason, 7::BIGINT AS total_tokens FROM events" for name in _ANSWERS))
+@_query(" UNION ALL ".join(f"SELECT conv_id, turn, '{name}' AS provider, text AS content, 'length' AS finish_reason, 7::BIGINT AS total_tokens FROM conversations WHERE text <> ''" for name in _ANSWERS))
 def provider_answers(spark, sf_dir):
     out = None
     for name, shape in _ANSWERS.items():
         before, after = shape.split("%s")
-        read = providers.answer(F.parse_json(F.concat(F.lit(before), F.col("event_type"), F.lit(after))), providers.lookup(name))
-        whole = _events(spark, sf_dir).select("event_id", F.lit(name).alias("provider"), read.alias("a"))
+        read = providers.answer(F.parse_json(F.concat(F.lit(before), F.col("said"), F.lit(after))), providers.lookup(name))
+        whole = _said(spark, sf_dir).select("conv_id", "turn", F.lit(name).alias("provider"), read.alias("a"))
         done = providers.completion(F.col("a.content"), F.col("a.finish_reason"), F.lit("m"), F.lit("1"), F.col("a.prompt_tokens"), F.col("a.completion_tokens"))
-        rows = whole.withColumn("c", done).select("event_id", "provider", F.col("c.choices")[0]["message"]["content"].alias("content"), F.col("c.choices")[0]["finish_reason"].alias("finish_reason"), F.col("c.usage.total_tokens").alias("total_tokens"))
+        rows = whole.withColumn("c", done).select("conv_id", "turn", "provider", F.col("c.choices")[0]["message"]["content"].alias("content"), F.col("c.choices")[0]["finish_reason"].alias("finish_reason"), F.col("c.usage.total_tokens").alias("total_tokens"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 _STREAMS = {
-    "openai": '{"choices":[{"delta":{"content":"%s"},"finish_reason":null}]}',
-    "anthropic": '{"type":"content_block_delta","delta":{"type":"text_delta","text":"%s"}}',
-    "gemini": '{"candidates":[{"content":{"parts":[{"text":"%s"}]}}]}',
-    "ollama": '{"message":{"content":"%s"},"done":false}',
+    "openai": '{"choices":[{"delta":{"content":%s},"finish_reason":null}]}',
+    "anthropic": '{"type":"content_block_delta","delta":{"type":"text_delta","text":%s}}',
+    "gemini": '{"candidates":[{"content":{"parts":[{"text":%s}]}}]}',
+    "ollama": '{"message":{"content":%s},"done":false}',
 }
 
 
-@_query(" UNION ALL ".join(f"SELECT event_id, '{name}' AS provider, event_type AS delta, FALSE AS is_end FROM events" for name in _STREAMS))
+@_query(" UNION ALL ".join(f"SELECT conv_id, turn, '{name}' AS provider, text AS delta, FALSE AS is_end FROM conversations WHERE text <> ''" for name in _STREAMS))
 def provider_stream_events(spark, sf_dir):
     out = None
     for name, shape in _STREAMS.items():
         before, after = shape.split("%s")
-        read = providers.stream_event(F.parse_json(F.concat(F.lit(before), F.col("event_type"), F.lit(after))), providers.lookup(name))
-        rows = _events(spark, sf_dir).select("event_id", F.lit(name).alias("provider"), read["delta"].alias("delta"), read["is_end"].alias("is_end"))
+        read = providers.stream_event(F.parse_json(F.concat(F.lit(before), F.col("said"), F.lit(after))), providers.lookup(name))
+        rows = _said(spark, sf_dir).select("conv_id", "turn", F.lit(name).alias("provider"), read["delta"].alias("delta"), read["is_end"].alias("is_end"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -245,11 +255,12 @@ def line_events(spark, sf_dir):
     return tables.line_objects(lines).select("event_id", F.try_variant_get("event", "$.k", "bigint").alias("k"))
 
 
-@_query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 413 ELSE 200 END::INTEGER AS status FROM events")
+@_query("SELECT conv_id, turn, (CASE WHEN 8 + strlen(regexp_replace(coalesce(text, ''), '[^a-zé ]', '', 'g')) > 200 THEN 413 ELSE 200 END)::INTEGER AS status FROM conversations")
 def sized_requests(spark, sf_dir):
-    body = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"a":"'), F.repeat(F.lit("é"), 50), F.lit('"}'))).otherwise('{"a":1}')
-    ok, bad = tables.requests(_events(spark, sf_dir).withColumn("body", body), 100)
-    return ok.select("event_id", F.lit(200).alias("status")).unionByName(bad.select("event_id", "status"))
+    """Turns as bodies, of which those over 200 bytes are refused."""
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zé ]", "")
+    ok, bad = tables.requests(spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("body", F.concat(F.lit('{"a":"'), plain, F.lit('"}'))), 200)
+    return ok.select("conv_id", "turn", F.lit(200).alias("status")).unionByName(bad.select("conv_id", "turn", "status"))
 
 
 @_query(f"SELECT session_id, coalesce(last(text ORDER BY turn) FILTER (role = 'user' AND turn % 2 = 0), '') AS echoed FROM (SELECT * FROM ({_TURNS}) t WHERE turn % 2 = 0) u GROUP BY 1")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import pathlib
 import random
 
 import pytest
@@ -9,7 +10,7 @@ from test_functions import CARD, GOOD, SIN
 
 from inkfold.functions import rules
 from inkfold.operators import audit, evaluation, payload, policy, providers, sanitize, spans, vault
-from inkfold.sources import tables
+from inkfold.sources import scratch, tables
 from inkfold.streaming import restore
 
 RANK = spans.SOURCE_RANK
@@ -303,6 +304,19 @@ def test_deployments_are_named_in_the_address(spark):
     assert payloads.select(providers.address(F.col("p"), providers.lookup("openai")).alias("a")).first()["a"] is None
 
 
+def test_scopes_drop_what_was_stored_inside(spark):
+    place = lambda df: pathlib.Path(df.inputFiles()[0].removeprefix("file:")).parent
+    outside = scratch.stored(spark.range(3), "a")
+    with scratch.scope(spark):
+        inside = place(scratch.stored(spark.range(3), "b"))
+        with scratch.scope(spark):
+            kept, deep = scratch.stored(spark.range(4), "c", keep=True), place(scratch.stored(spark.range(5), "d"))
+        assert not deep.exists() and inside.exists() and kept.count() == 4
+        last = scratch.stored(kept, "e", keep=True)
+    assert not inside.exists()
+    assert outside.count() == 3 and last.count() == 4
+
+
 def test_one_session_is_numbered_by_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(vault, "BLOCK", 2)
     texts = [("all", i, f"mail u{i % 17}@b.co and u{(i * 7) % 23}@b.co") for i in range(40)] + [(None, 0, "x@b.co"), (None, 3, "y@b.co"), ("two", 1, "z@b.co")]
