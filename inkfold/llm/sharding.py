@@ -23,6 +23,8 @@ from itertools import groupby
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkfold.llm import common
+
 POSITIONS = 1 << 16
 #: A position with more rows than this, and over a thousandth of all, is ranked in so many parts.
 LEAST_CROWD, SALTS = 4096, 64
@@ -73,7 +75,8 @@ def assign(docs: DataFrame, shards: int = 24, replicas: int = 64) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     rows = rows.withColumn("hash", F.xxhash64("doc_id", "text_crc32")).withColumn("position", F.shiftrightunsigned("hash", 48).cast("int"))
-    rows = rows.withColumn("split", F.spark_partition_id())  # as steady as the input's splits
+    # Ranks count on each row's split, so rows are written with theirs: the input may be split otherwise when it is read again.
+    rows = common.stash(rows.withColumn("split", F.spark_partition_id()), "rows")
     counts = {r["position"]: r["n"] for r in rows.groupBy("position").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
     crowded = [p for p, n in counts.items() if n * 1000 > total and n > LEAST_CROWD]  # a thousand positions at most
