@@ -11,6 +11,7 @@ from inkfold.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SHOWN = ["detect_generic_phone", "detect_eu_vat", "detect_ua_ipn", "merged_spans", "policy_block", "provider_gate", "token_map", "tokenized_text", "audit_chain", "audit_tampered", "stats_totals", "stats_routing", "audit_page", "greedy_scores", "extract_texts", "flattened_messages", "server_sent_events"]
+SHOWN += ["own_pack_spans", "audit_unlinked", "audit_streamed", "streamed_sessions", "streamed_events", "token_map_one_session", "spans_of_passes", "fidelity_run", "stored_tokens"]
 SHOWN += ["normalized_texts", "anchored_values", "sanitized_requests", "sanitized_requests_restored", "blocked_requests", "provider_answers", "event_streams", "reported_entities", "policies_from_forms"]
 
 
