@@ -220,3 +220,18 @@ def test_codes_without_vectors_and_of_other_lengths(spark):
     assert sorted((r.vec_id, r.code, r.error) for r in rows) == [(1, "00000000", 0), (3, "01010101", 0)]
     with pytest.raises(Exception, match="32768 or more"):
         vector_codes.compress(spark.createDataFrame([(1, [40000.0] * 4, 1)], schema)).count()
+
+
+@pytest.mark.parametrize("name", ["op11_lexical_search", "op12_exact_dedup", "op13_vector_codes"])
+def test_query_equals_its_oracle(spark, sf, name):
+    import duckdb
+
+    from inkfold.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "benchmark"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    got, expected = queries.QUERIES[name](spark, sf).toPandas(), con.execute(queries.ORACLES[name]).df()
+    assert sorted(got.columns) == sorted(expected.columns) and len(got)
+    plain = lambda df: sorted(repr([v.item() if hasattr(v, "item") else v for v in r]) for r in df[sorted(df.columns)].itertuples(index=False, name=None))
+    assert plain(got) == plain(expected)
