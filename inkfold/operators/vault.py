@@ -69,15 +69,16 @@ def _base_suffixes(texts: DataFrame) -> DataFrame:
 BLOCK = 1 << 10
 
 
-def _numbered(values: DataFrame) -> DataFrame:
-    """values with ordinal: their place among a session's values, by where each first occurs. Each block of a session's texts
-    is ranked by itself, and starts after as many values as the blocks before it have; one session that holds all rows is
-    numbered by as many tasks as it has blocks."""
+def _numbered(values: DataFrame, bases: DataFrame) -> DataFrame:
+    """values with ordinal: their place among a session's values, by where each first occurs, after the session's base. Each
+    block of a session's texts is ranked by itself, and starts after as many values as the blocks before it have; one session
+    that holds all rows is numbered by as many tasks as it has blocks."""
     rows = values.withColumn("_block", F.floor(F.col("first.text_idx") / BLOCK))
     local = F.row_number().over(Window.partitionBy("session_id", "_block").orderBy("first", "entity_type", "value"))
     before = F.sum("n").over(Window.partitionBy("session_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
     sizes = rows.groupBy("session_id", "_block").agg(F.count(F.lit(1)).alias("n"))
-    starts = sizes.select(F.col("session_id").alias("_session"), F.col("_block").alias("_start"), F.coalesce(before, F.lit(0)).alias("_before"))
+    starts = sizes.withColumn("_before", F.coalesce(before, F.lit(0))).join(bases, "session_id", "left")
+    starts = starts.select(F.col("session_id").alias("_session"), F.col("_block").alias("_start"), (F.col("_before") + F.coalesce("base", F.lit(0))).alias("_before"))
     same = F.col("session_id").eqNullSafe(F.col("_session")) & F.col("_block").eqNullSafe(F.col("_start"))
     ranked = rows.withColumn("_local", local).join(starts, same)
     return ranked.withColumn("ordinal", F.col("_local") + F.col("_before")).drop("_block", "_local", "_session", "_start", "_before")
@@ -88,8 +89,8 @@ def token_map(found: DataFrame, key: bytes, *, master: bytes | None = None) -> D
     fingerprint, occurrences and value; with a master key value_ciphertext in place of value."""
     rows = found.select("session_id", "text_idx", F.inline("spans"))
     values = rows.groupBy("session_id", "entity_type", F.col("text").alias("value")).agg(F.count(F.lit(1)).alias("occurrences"), F.min(F.struct("text_idx", "start")).alias("first"))
-    values = _numbered(values).join(_base_suffixes(found), "session_id", "left")
-    suffix = F.lower(F.hex(F.col("ordinal") + F.coalesce("base", F.lit(0).cast("long"))))
+    values = _numbered(values, _base_suffixes(found))
+    suffix = F.lower(F.hex("ordinal"))
     suffix = F.when(F.length(suffix) < 6, F.lpad(suffix, 6, "0")).otherwise(suffix)
     out = values.select(
         "session_id", "entity_type", "value", make_placeholder(F.col("entity_type"), suffix).alias("placeholder"),

@@ -92,7 +92,11 @@ def verified(spark: SparkSession, path: str, key: bytes, only: list[int] | None
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
     """(batch_id, files): a digest of the names, sizes and times of each finished batch's files; no event is read."""
-    told = log(spark, path).select("batch_id", F.struct("_metadata.file_name", "_metadata.file_size", "_metadata.file_modification_time").alias("f")).distinct()
+    events, done = audit.written(spark, f"{path}/events"), _heads(spark, path)
+    if events is None or done is None:
+        return spark.createDataFrame([], "batch_id int, files string")
+    told = events.select("batch_id", F.struct("_metadata.file_name", "_metadata.file_size", "_metadata.file_modification_time").alias("f")).distinct()
+    told = told.join(F.broadcast(done.select("batch_id").distinct()), "batch_id", "left_semi")
     one = F.concat_ws(":", F.col("f.file_name"), F.col("f.file_size"), F.unix_micros("f.file_modification_time"))
     return told.groupBy("batch_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(one)), ",").cast("binary"), 256).alias("files"))
 
