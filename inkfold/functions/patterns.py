@@ -26,11 +26,13 @@ REPEATS = {"MAX_REPEAT": "", "MIN_REPEAT": "?", "POSSESSIVE_REPEAT": "+"}
 
 @dataclass(frozen=True)
 class Translated:
-    """pattern and hint in Java's syntax; marked is the replacement that puts marks around what a match is about."""
+    """pattern and hint in Java's syntax; marked is the replacement that puts marks around what a match is about; gated is
+    whether the pattern looks first at the character that a match can start with."""
 
     pattern: str
     hint: str
     marked: str
+    gated: bool = False
 
 
 @dataclass
@@ -425,7 +427,8 @@ def translated(pattern: str, flags: int = 0) -> Translated:
     fold = "(?iu)" if flags & re.I else ""
     # Most places of a text are passed by on their first character.
     first = _first(items, flags)
-    if first is not None and "a-z" not in first:
+    gated = first is not None and "a-z" not in first
+    if gated:
         body = f"(?=[{first}])(?:{body})"
     told, hint = max(_hints(items, flags), default=(0.0, ""))
-    return Translated(fold + body, fold + hint if told >= 3 else "", marked)
+    return Translated(fold + body, fold + hint if told >= 3 else "", marked, gated)

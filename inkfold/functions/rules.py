@@ -218,12 +218,14 @@ def _built_in() -> dict[Rule, Rule]:
     for p in PACKS.values():
         for r in p.rules:
             own = translated(_written(r), re.I if r.ignore_case else 0)
-            out[r] = Rule(r.type, own.pattern, r.validator, hint=r.hint, marked=own.marked)
+            if own.gated:
+                out[r] = Rule(r.type, own.pattern, r.validator, hint=r.hint, marked=own.marked)
     return out
 
 
 def running(rule: Rule) -> Rule:
-    """The rule as it runs: a built-in one as if it had been read from a document, which is cheaper to match."""
+    """The rule as it runs: a built-in one as if it had been read from a document, where most places of a text then fail on
+    their first character."""
     return _built_in().get(rule, rule)
 
 
