@@ -30,8 +30,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of the documents left."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Token sequences of the documents left; written here, since whole texts go to Python in small batches only inside."""
+    with common.batches_of(spark, packing.TEXTS):
+        return common.stash(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")), "packing")
 
 
 STAGES = [

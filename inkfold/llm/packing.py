@@ -31,6 +31,8 @@ from inkfold.llm import common
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: So many texts of a batch are taken from Arrow at once.
+TEXTS = 256
 #: ASCII marks that form a token apart from the letters and digits before them; an apostrophe can start a suffix such as 's.
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: One such mark at a word's end, cut off before words are looked up, so that fewer of them are new.
@@ -51,7 +53,7 @@ class WordTokenizer:
     of lower-case letters is one piece, merged by rank; its end mark is held as the byte 255, which no UTF-8 text has.
     """
 
-    def __init__(self, path: str, max_words: int = 1_500_000):
+    def __init__(self, path: str, max_words: int = 300_000):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -240,7 +242,8 @@ def _packer(path: str, size: int, end_id: int, max_open: int, emit_ids: bool):
             lists.clear()
             return pa.RecordBatch.from_arrays(columns, names)
 
-        for batch in batches:
+        # A batch may hold thousands of whole texts: few of them are Python's objects at once.
+        for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = np.append(words.encode(text.encode("utf-8", "replace")), np.uint32(end_id))
                 for window in packer.add(doc_id, ids.astype(np.uint16 if ids.max() < 1 << 16 else np.uint32)):

@@ -5,11 +5,14 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from inkfold.llm import language_id, lm_scoring, packing, pii, quality
@@ -99,6 +102,20 @@ def test_packing_chooses_levels_by_squares():
     assert sum(len(x[2]) for w in windows for x in w) == 150
 
 
+def test_packing_takes_few_texts_of_a_batch_at_once(monkeypatch):
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    texts = [f"word {i} " + " " * 6400 for i in range(4000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(4000), pa.int64()), "text": texts})
+    del texts
+    packing.tokenizer(BPE)
+    tracemalloc.start()
+    try:
+        found = sum(x.num_rows for x in packing._packer(BPE, 4096, 2, 4096, False)(iter([batch])))
+        assert found >= 4000 and tracemalloc.get_traced_memory()[1] < batch.nbytes / 2
+    finally:
+        tracemalloc.stop()
+
+
 def test_packing_at_the_edges(edge_docs, no_docs):
     parts, _ = packed_texts(rows(packing.pack(edge_docs, BPE)))
     assert parts[1, 1] == [(0, 1, zlib.crc32(np.array([2], "<u4").tobytes()))]
