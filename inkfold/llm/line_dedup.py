@@ -5,7 +5,9 @@ moved by no more places than there are segments before it or after it. Each line
 those places for each length that a shorter partner may have. Neighbouring lengths share one segment size, so a line
 probes one or two partitions, seldom more. A segment's key is the gram in it with the least hash: places next to each
 other mostly have the same one, so a line has few keys whatever the threshold. What agrees in no key with another line
-is dropped on the keys alone; texts are fetched only for the lines left. Pairs whose letter counts allow few enough edits
+is dropped on the keys alone; texts are fetched only for the lines left. Lines of many words have segments of words instead,
+with runs of words as keys, which are cheaper to compute. The join on keys drops pairs whose letter counts differ by more
+than the edits; it still compares all lines of a key, so its work, not its result, is of the square of a key's lines. The others
 are verified by banded bit-parallel edit distance, without the ends at which they agree. Where a key is common to more than `crowd` lines, the lines that hold it are not paired: what is left of them,
 without the gram, must also lie within k edits, so the same join runs on the rests, `depth` times at most. So a phrase
 that a third of all lines share costs no pairs; lines that share `depth` grams, one in the rest of the other, are compared
@@ -30,6 +32,12 @@ from inkfold.llm import common
 
 #: A line may differ by one edit for each so many characters, up to the threshold; shorter ones have exact copies only.
 EDIT_CHARS = 5
+#: Lines of so many words, told by single spaces, are indexed by runs of words.
+WORDS = 20
+#: And of so many characters.
+LONG = 40
+#: A word's place, below the bits of its hash.
+PLACE = (1 << 31) - 1
 WORDY = r"[^\x20\x09-\x0D]"
 
 
@@ -102,6 +110,35 @@ def _keys(placed: DataFrame) -> DataFrame:
     return found.select("line_id", "n", "k", own.alias("own"), F.array_except(F.flatten("x.keys"), own).alias("keys"))
 
 
+def _word_keys(rows: DataFrame, threshold: int) -> DataFrame:
+    """As _keys, for rows line_id, s of at least WORDS words, where n counts words and segments are of words.
+
+    An edit changes a word, or parts or joins two; it counts for the segment whose words, or spaces after them, it changes. So
+    of a segment without edits all words but the first stand in the other line. Its key is a run of words behind the first
+    one: of the first few runs there, the one that starts with the word of the least hash."""
+    k, pairs = threshold, [(i, d) for i in range(threshold + 1) for d in range(-min(i, threshold - i), i + 1)]
+    n, part = F.col("n"), F.col("part")
+    marks = F.transform(F.split("s", " "), lambda w, j: F.xxhash64(w).bitwiseAND(F.lit(-1 << 31)).bitwiseOR(j.cast("long")))  # a word's place is below its hash
+    split = rows.select("line_id", F.explode(F.array(marks)).alias("marks")).select("line_id", "marks", F.size("marks").alias("n"))
+    found = F.filter(F.array_distinct(F.array(*(_bucket(n - less) for less in range(k + 1)))), lambda b: b >= WORDS)
+    placed = split.select("line_id", "n", "marks", F.explode(found).alias("b"))
+    placed = placed.withColumns({"part": F.floor(F.col("b") / (k + 1)).cast("int"), "mine": _bucket(n) == F.col("b")})
+    # Runs are of three words, or five; those at up to four places fit into the segment.
+    short = F.col("part") < 8
+    room = part - F.when(short, 3).otherwise(5)
+    place = lambda at, t: F.get("marks", at + t) if t == 0 else F.when(t < room, F.get("marks", at + t))
+    least = lambda at: F.least(*(place(at, t) for t in range(4)))
+    starts = {(i, d): F.greatest(F.least(part * i + d, n - part), F.lit(0)) + 1 for i, d in pairs}
+    own = F.when(F.col("mine"), F.array_distinct(F.transform(F.array(*(starts[i, 0] for i in range(k + 1))), least))).otherwise(F.array().cast("array<bigint>"))
+    placed = placed.select("line_id", "n", "marks", "b", "part", own.alias("own"), F.transform(F.array(*starts.values()), least).alias("every"))
+
+    def key(x: Column) -> Column:
+        words = lambda size: F.xxhash64(F.lit(-1), "b", *(F.shiftright(F.get("marks", x.bitwiseAND(F.lit(PLACE)).cast("int") + t), 31) for t in range(size)))
+        return F.when(short, words(3)).otherwise(words(5))
+
+    return placed.select("line_id", "n", F.lit(k).alias("k"), F.transform("own", key).alias("own"), F.transform(F.array_except("every", "own"), key).alias("keys"))
+
+
 def _rests(placed: DataFrame, crowded: DataFrame, texts: DataFrame) -> DataFrame:
     """(g, line_id, k, s) for each crowded key of a line: what is left of it without the gram; a mark keeps what was before it
     apart from what was after."""
@@ -130,59 +167,75 @@ def _held(keyed: DataFrame) -> DataFrame:
     return met.join(shared.drop("indexed"), "key")
 
 
-def _key_pairs(held: DataFrame) -> DataFrame:
-    """(a, b) for lines with a common key, a's own, where b is as long or up to k longer."""
-    a = held.where("own").select("key", F.col("line_id").alias("a"), F.col("n").alias("n_a"), "k")
-    b = held.select("key", F.col("line_id").alias("b"), F.col("n").alias("n_b"))
-    return a.join(b, "key").where((F.col("n_b") - F.col("n_a")).between(0, F.col("k")) & (F.col("a") != F.col("b"))).select("a", "b")
+def _key_pairs(held: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """(a, b) for lines with a common key, a's own, where b is as long or up to k longer, and their letters are alike."""
+    held = held.join(texts.select("line_id", *LETTERS), "line_id")
+    a = held.where("own").select("key", F.col("line_id").alias("a"), F.col("n").alias("n_a"), "k", *_side("a"))
+    b = held.select("key", F.col("line_id").alias("b"), F.col("n").alias("n_b"), *_side("b"))
+    return a.join(b, "key").where((F.col("n_b") - F.col("n_a")).between(0, F.col("k")) & (F.col("a") != F.col("b")) & _alike(threshold)).select("a", "b")
 
 
-def _short_pairs(rows: DataFrame) -> DataFrame:
+def _short_pairs(rows: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """(a, b) for rests of one key with hardly more characters than edits: most of these are links."""
-    sized = rows.withColumn("n", F.length("s"))
-    a = sized.where(F.col("n") < 2 * (F.col("k") + 1)).select("g", F.col("line_id").alias("a"), F.col("n").alias("n_a"), "k")
-    b = sized.where(F.col("n") < 3 * F.col("k") + 2).select("g", F.col("line_id").alias("b"), F.col("n").alias("n_b"))
-    return a.join(b, "g").where((F.col("n_b") - F.col("n_a")).between(0, F.col("k")) & (F.col("a") != F.col("b"))).select("a", "b")
+    sized = rows.withColumn("n", F.length("s")).drop("s").join(texts.select("line_id", *LETTERS), "line_id")
+    a = sized.where(F.col("n") < 2 * (F.col("k") + 1)).select("g", F.col("line_id").alias("a"), F.col("n").alias("n_a"), "k", *_side("a"))
+    b = sized.where(F.col("n") < 3 * F.col("k") + 2).select("g", F.col("line_id").alias("b"), F.col("n").alias("n_b"), *_side("b"))
+    return a.join(b, "g").where((F.col("n_b") - F.col("n_a")).between(0, F.col("k")) & (F.col("a") != F.col("b")) & _alike(threshold)).select("a", "b")
 
 
 def _candidates(every: DataFrame, threshold: int, crowd: int, depth: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of line_ids, a before b, that may be links, none of those missed; and the lines they name (line_id, line_id2, s)."""
-    texts, pairs, rows = None, None, every.select(F.lit(0).cast("long").alias("g"), "line_id", F.col("line").alias("s"))
+    rows = every.select(F.lit(0).cast("long").alias("g"), "line_id", F.col("line").alias("s"))
     allowed = lambda m: F.least(F.floor(m / EDIT_CHARS), F.lit(threshold))
+    # A pair of lines of WORDS words and LONG characters or more meets by words, all others by characters.
+    n_words, n_chars = F.octet_length("s") - F.octet_length(F.replace(F.col("s"), F.lit(" "), F.lit(""))) + 1, F.length("s")
+    brief = (n_words < WORDS + threshold) | (n_chars < LONG + threshold)
+    keyed = _keys(_partitions(rows.where(brief), allowed, threshold)).unionByName(_word_keys(rows.where((n_words >= WORDS) & (n_chars >= LONG)), threshold))
+    held = common.stash(_held(common.stash(keyed, "keys")), "held")
+    named = held.select("line_id").distinct()
+    texts = every.join(named, "line_id", "left_semi").groupBy("line_id", "line_id2").agg(F.first("line").alias("s"))
+    texts = common.stash(texts.select("*", *(x.alias(c) for c, x in zip(LETTERS, _letters()))), "texts")
+    rows, pairs = texts.select(F.lit(0).cast("long").alias("g"), "line_id", "s"), None
     for level in range(1, depth + 1):
-        held = common.stash(_held(common.stash(_keys(_partitions(rows, allowed, threshold)), "keys")), "held")
-        if texts is None:
-            named = held.select("line_id").distinct()
-            texts = common.stash(every.join(named, "line_id", "left_semi").groupBy("line_id", "line_id2").agg(F.first("line").alias("s")), "texts")
-            rows = texts.select(F.lit(0).cast("long").alias("g"), "line_id", "s")
-        calm = _key_pairs(held.where(F.col("lines") <= crowd) if level < depth else held)
+        calm = _key_pairs(held.where(F.col("lines") <= crowd) if level < depth else held, texts, threshold)
         pairs = calm if pairs is None else pairs.unionByName(calm)
         crowded = held.where(F.col("lines") > crowd)
         if level == depth or crowded.isEmpty():
             break
-        crowding = rows.join(crowded.select("line_id").distinct(), "line_id", "left_semi")
-        rows = common.stash(_rests(_partitions(crowding, allowed, threshold), crowded.select("key").distinct(), rows), "rests")
+        keys, crowding = crowded.select("key").distinct(), rows.join(crowded.select("line_id").distinct(), "line_id", "left_semi")
+        rests = _rests(_partitions(crowding.where(brief) if level == 1 else crowding, allowed, threshold), keys, rows)
+        if level == 1:  # lines with a common run of words meet by their characters
+            rests = rests.unionByName(crowding.where((n_words >= WORDS) & (n_chars >= LONG)).withColumn("k", F.lit(threshold)))
+        rows = common.stash(rests, "rests")
         allowed = lambda m: F.when(m > 0, F.col("k")).otherwise(0)
-        pairs = pairs.unionByName(_short_pairs(rows))
-    pairs = _alike(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts, threshold)
+        pairs = pairs.unionByName(_short_pairs(rows, texts, threshold))
+        held = common.stash(_held(common.stash(_keys(_partitions(rows, allowed, threshold)), "keys")), "held")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return common.stash(pairs.repartition(common.spark_partitions(every.sparkSession)), "pairs"), texts  # few bytes, much work
 
 
-def _letters() -> Column:
-    """How often each of eight letters is in s, eight bits for each, counted up to 127."""
-    count = lambda c: F.least(F.length("s") - F.length(F.translate("s", c, "")), F.lit(127)).cast("long")
-    return sum((F.shiftleft(count(c), 8 * i) for i, c in enumerate("enitarso")), F.lit(0).cast("long"))
+#: The letters that are counted, eight to a column, and the columns: counts, and their sum.
+COUNTED = "enitarsohdlugywkbfmcv., "
+LETTERS = ("letters0", "letters1", "letters2", "letters")
+
+
+def _letters() -> list[Column]:
+    """How often each of these letters is in s, eight bits for each, counted up to 127; and the sum of these counts."""
+    count = lambda c: F.least(F.octet_length("s") - F.octet_length(F.replace(F.col("s"), F.lit(c), F.lit(""))), F.lit(127)).cast("long")
+    packed = [sum((F.shiftleft(count(c), 8 * i) for i, c in enumerate(COUNTED[at : at + 8])), F.lit(0).cast("long")) for at in (0, 8, 16)]
+    return [*packed, sum(map(count, COUNTED), F.lit(0).cast("long"))]
+
+
+def _side(x: str) -> list[Column]:
+    return [F.col(c).alias(f"{c}_{x}") for c in LETTERS]
 
 
-def _alike(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """The pairs whose letters allow so few edits: an edit takes one letter away at most, and puts one in at most."""
-    for x in ("a", "b"):
-        pairs = pairs.join(texts.select(F.col("line_id").alias(x), _letters().alias(f"letters_{x}")), x)
-    more, fewer = F.lit(0), F.lit(0)
-    for i in range(8):
-        a, b = (F.shiftright(f"letters_{x}", 8 * i).bitwiseAND(F.lit(127)) for x in ("a", "b"))
-        more, fewer = more + F.greatest(a - b, F.lit(0)), fewer + F.greatest(b - a, F.lit(0))
-    return pairs.where((more <= threshold) & (fewer <= threshold)).select("a", "b").distinct()
+def _alike(threshold: int) -> Column:
+    """Whether a's and b's letters allow so few edits: an edit takes one letter away at most, and puts one in at most. The
+    letters taken and those put in are differences in all; what one exceeds the other by is that of the sums."""
+    at = lambda c, i: F.shiftright(c, 8 * i).bitwiseAND(F.lit(127))
+    apart = sum((F.abs(at(f"{c}_a", i) - at(f"{c}_b", i)) for c in LETTERS[:3] for i in range(8)), F.lit(0))
+    return apart + F.abs(F.col("letters_a") - F.col("letters_b")) <= 2 * threshold
 
 
 def edits_within(a: Column, b: Column, k: int) -> Column:

@@ -91,6 +91,34 @@ def test_default_links_reach_four_edits_and_short_lines(spark):
         assert found == {d: (len(near[x]), d > first[x] or any(first[y] < first[x] for y in near[x])) for d, x in enumerate(made)}
 
 
+def test_lines_of_many_words_link_as_brute_force_says(spark):
+    rng = random.Random(21)
+    made = []
+    for n in (17, 18, 19, 20, 21, 24, 25, 39, 40, 44, 45, 50, 64, 90, 200):
+        for s in (sentence(rng, n, 60), " ".join(rng.choice("a b cd  e".split(" ")) for _ in range(2 * n))):
+            made.append(s)
+            for k in (1, 2, 3, 4, 4, 4, 5):
+                x = list(s)
+                for _ in range(k):
+                    spaces = [i for i, c in enumerate(x) if c == " "]
+                    at = rng.choice(spaces) if rng.random() < 0.5 else rng.randrange(len(x) + 1)
+                    x[at : at + rng.randrange(2)] = rng.choice(["", " ", "q"])
+                made.append("".join(x))
+    made = [x for x in made if x.strip()]
+    distinct = set(made)
+    near = {x: sum(y != x and abs(len(x) - len(y)) <= 4 and edits(x, y) <= 4 for y in distinct) for x in distinct}
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    for crowd in (3, 4096):
+        assert {r["doc_id"]: r["n_links"] for r in rows(line_dedup.link(docs, crowd=crowd))} == {d: near[x] for d, x in enumerate(made)}
+
+
+def test_unlike_lines_of_one_key_make_no_pairs(spark):
+    rng = random.Random(5)
+    start = sentence(rng, 40)
+    docs = spark.createDataFrame([(i, f"{start} {x}") for i, x in enumerate("".join(rng.choices("hdlugwkbfm", k=40)) for _ in range(80))], "doc_id long, text string")
+    assert line_dedup._candidates(line_dedup.lines(docs), 4, 4096, 3)[0].count() < 80 * 79 / 2 / 10
+
+
 def test_banded_edits(spark):
     rng = random.Random(4)
     made = []
