@@ -33,16 +33,15 @@ def payload(columns: dict[str, Column] | None = None) -> Column:
 
 def _chain(key: bytes):
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        team, last = None, ""
+        last = ""
         for batch in batches:
             before, after = [], []
-            for own, head, body in zip(*(batch.column(c).to_pylist() for c in ("team_id", "head", "payload"))):
-                if own != team or not after and not last:
-                    team, last = own, head
+            for place, head, body in zip(*(batch.column(c).to_pylist() for c in ("place", "head", "payload"))):
+                last = head if place == 1 else last
                 before.append(last)
                 last = hmac.new(key, (last + body).encode(), hashlib.sha256).hexdigest()
                 after.append(last)
-            rest = [c for c in batch.schema.names if c not in ("head", "payload")]
+            rest = [c for c in batch.schema.names if c not in ("place", "head", "payload")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(before, pa.string()), pa.array(after, pa.string())], [*rest, "prev_hash", "event_hash"])
 
     return chain
@@ -62,9 +61,11 @@ def append(events: DataFrame, key: bytes, log: DataFrame | None = None, heads: D
         rows = rows.withColumn("head", F.lit(GENESIS))
     else:
         rows = rows.join(heads.select("team_id", "head"), "team_id", "left").withColumn("head", F.coalesce("head", F.lit(GENESIS)))
-    ordered = rows.repartition("team_id").sortWithinPartitions("team_id", "id")
+    # A window keeps a team's rows in one task. A repartition doesn't: the join's own one would replace it, and that is read
+    # in other pieces where the heads turn out small enough to be broadcast.
+    ordered = rows.withColumn("place", F.row_number().over(Window.partitionBy("team_id").orderBy("id")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema) + ", prev_hash string, event_hash string"
-    return ordered.select(*events.columns, "head", "payload").mapInArrow(_chain(key), schema)
+    return ordered.select(*events.columns, "place", "head", "payload").mapInArrow(_chain(key), schema)
 
 
 #: Ids are serial numbers; so many of them in a row make a block.

@@ -136,6 +136,21 @@ def log_rows(spark, ids):
     return spark.createDataFrame(rows, "id long, team_id string, api_key_id string, session_id string, route string, provider string, entity_counts map<string,long>, blocked boolean, prompt_tokens long, completion_tokens long, latency_ms long")
 
 
+def test_a_team_is_chained_in_one_task(spark):
+    """Where the heads' join is planned as one of shuffled tables and turns into one of a broadcast table."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        log = audit.append(log_rows(spark, range(200)), b"k").localCheckpoint()
+        more = audit.append(log_rows(spark, range(200, 400)).repartition(8), b"k", log).localCheckpoint()
+        assert [r["n_broken"] for r in audit.verify(log.unionByName(more), b"k").collect()] == [0, 0, 0]
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_audit_chain_and_tampering(spark):
     log = audit.append(log_rows(spark, range(30)), b"k").cache()
     more = audit.append(log_rows(spark, range(30, 40)), b"k", log)
